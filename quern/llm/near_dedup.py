@@ -2,8 +2,9 @@
 
 Each text's set of word shingles becomes a MinHash signature. Bands of the signature give candidate
 buckets; the same samples, folded into a parity bitmap (odd sketch), give a similarity estimate from the
-population count of an XOR, which discards candidates that are far below the threshold. What is left is
-confirmed on the full shingle sets, and confirmed links are joined into components.
+population count of an XOR, which discards candidates that are far below the threshold. A second parity
+bitmap, of the whole set, bounds the number of differing shingles from below. What is left is confirmed on
+the full shingle sets, and confirmed links are joined into components.
 
 Work stays near-linear in the size of a group of copies: equal sets are merged first; each bucket is then
 compared with one pivot a round and members that already share a component are not compared again. Buckets
@@ -24,6 +25,7 @@ from .common import WordHashes, discard, mix64, written
 
 BANDS, ROWS = 30, 5
 SKETCH_BITS = 512
+SET_BITS = 2048
 _hashes = WordHashes()
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -101,11 +103,21 @@ def _signatures(width: int):
     return run
 
 
+def set_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a whole set. The XOR of two has no more odd bits than the sets have differing
+    members, so unlike the samples' sketch it never discards a true link."""
+    odd = np.bincount((shingles % np.uint64(SET_BITS)).astype(np.int64), minlength=SET_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(width: int):
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, width).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
+            sets = [shingle_set(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([set_sketch(s) for s in sets], pa.list_(pa.int64()))],
+                ["rep", "shingles", "whole"],
+            )
 
     return run
 
@@ -162,19 +174,24 @@ def _links(base: DataFrame, reps: DataFrame, pct: int, width: int, max_pivot_rou
     shared = entry.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key", F.col("lo").alias("pivot"))
     members = written(entry.join(shared, "key"), "buckets")
     wanted = members.select("rep").distinct()
-    sets = written(base.join(wanted, base.doc_id == wanted.rep, "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "rep long, shingles array<long>"), "sets")
-    sketch = reps.select("rep", "sketch", "n")
+    sets = written(base.join(wanted, base.doc_id == wanted.rep, "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "rep long, shingles array<long>, whole array<long>"), "sets")
+    side = lambda x: sketch.select(*[F.col(c).alias(c + x) for c in ("rep", "n", "sketch", "whole")])
+    sketch = written(reps.select("rep", "sketch", "n").join(sets.select("rep", F.size("shingles").cast("long").alias("n"), "whole"), ["rep", "n"]), "sketches")
     limit = sketch_limit(pct / 100)
 
-    def close(x: str, y: str):
-        odd = F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, p) -> s + p)")
-        return odd <= limit
+    def close():
+        """Of sides 1 and 2: sizes, then samples, then whole sets may be similar enough."""
+        odd = lambda c: F.expr(f"aggregate(zip_with({c}1, {c}2, (p, q) -> bit_count(p ^ q)), 0, (s, p) -> s + p)")
+        sizes = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * pct
+        # with i in common of u in all, u - i differ; 100 i >= pct u leaves at most (100 - pct) / (100 + pct) of n1 + n2
+        return sizes & (odd("sketch") <= limit) & (odd("whole") * (100 + pct) <= (F.col("n1") + F.col("n2")) * (100 - pct))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), the links: first by size and sketch, then on the full sets."""
-        near = pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a")
-        near = near.join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b")
-        near = near.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * pct) & close("sa", "sb")).select("a", "b")
+        """Of pairs (a, b), the links: first by size and sketches, then on the full sets."""
+        near = pairs.join(side("1").withColumnRenamed("rep1", "a"), "a").join(side("2").withColumnRenamed("rep2", "b"), "b")
+        return exact(near.where(close()).select("a", "b"))
+
+    def exact(near: DataFrame) -> DataFrame:
         full = near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         return full.where(both * 100 >= (F.size("x") + F.size("y") - both) * pct).select("a", "b").distinct()
@@ -194,10 +211,9 @@ def _links(base: DataFrame, reps: DataFrame, pct: int, width: int, max_pivot_rou
         if not n:
             break
         if turn == max_pivot_rounds or all_pairs <= 16 * n:
-            rich = left.join(sketch, "rep").select("key", "rep", "group", "sketch")
-            other = rich.select("key", F.col("rep").alias("rep2"), F.col("group").alias("group2"), F.col("sketch").alias("sketch2"))
-            pairs = rich.join(other, "key").where((F.col("rep") < F.col("rep2")) & (F.col("group") != F.col("group2")) & close("sketch", "sketch2"))
-            found = confirmed(pairs.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
+            one, two = (left.select("key", F.col("rep").alias(f"rep{x}"), F.col("group").alias(f"group{x}")).join(side(x), f"rep{x}") for x in "12")
+            pairs = one.join(two, "key").where((F.col("rep1") < F.col("rep2")) & (F.col("group1") != F.col("group2")) & close())
+            found = exact(pairs.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct())
             edges = edges.unionByName(written(found, "links"))
             break
         pairs = left.where("group <> pivot_group").select(*pair(F.col("rep"), F.col("pivot"))).distinct()
