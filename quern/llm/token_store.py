@@ -173,18 +173,48 @@ class Encoder:
 
     SPACES = [chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)]
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.inner: dict[str, bytes] = {}
+        self.atoms: dict[str, bytes] = {}
         self.limit = limit
 
     @staticmethod
     def _bytes(encoding) -> bytes:
-        return np.array(encoding.ids, "<u4").tobytes()
+        return struct.pack(f"<{len(encoding.ids)}I", *encoding.ids)
+
+    @staticmethod
+    def _atoms(piece: str) -> list[str]:
+        """A piece, its space in front, cut where pre-tokens are bound to end: around single line feeds between
+        other characters, and between letters and the punctuation after them."""
+        parts = piece.split("\n")
+        if not all(parts):
+            return [" " + piece]
+        out: list[str] = []
+        for i, part in enumerate(parts):
+            if i:
+                out.append("\n")
+            word = part.rstrip(".,;:!?")
+            lead = "" if i else " "
+            if word != part and word.isalpha():
+                out += (lead + word, part[len(word) :])
+            else:
+                out.append(lead + part)
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        cut = {p: self._atoms(p) for p in pieces}
+        new = list(set().union(*cut.values()) - self.atoms.keys())
+        if len(self.atoms) + len(new) > self.limit:
+            self.atoms.clear()
+            new = list(set().union(*cut.values()))
+        self.atoms.update(zip(new, map(self._bytes, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        get = self.atoms.__getitem__
+        self.inner.update((p, b"".join(map(get, a))) for p, a in cut.items())
 
     def _plain(self, text: str) -> bool:
         spaces = self.SPACES[:10] if text.isascii() else self.SPACES
@@ -198,9 +228,7 @@ class Encoder:
             if len(self.inner) + len(need) > self.limit:
                 self.inner.clear()
                 need = set().union(*(w[1:] for w in split if w))
-            need = list(need)
-            encoded = self.tokenizer.encode_batch_fast([" " + w for w in need], add_special_tokens=False)
-            self.inner.update(zip(need, map(self._bytes, encoded), strict=True))
+            self._learn(need)
         for text, words in zip(texts, split, strict=True):
             if not text:
                 yield b""
