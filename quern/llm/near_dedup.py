@@ -8,7 +8,9 @@ the full shingle sets, and confirmed links are joined into components.
 
 Work stays near-linear in the size of a group of copies: equal sets are merged first; each bucket is then
 compared with one pivot a round and members that already share a component are not compared again. Buckets
-that still hold several components are compared exhaustively once that is cheap, so no link is lost to a cap.
+that still hold several components once pivots find few new links are compared whole, in blocks of 1024
+members: each task tests the bitmaps of its sorted runs and gives only the pairs that pass, so no link is
+lost to a cap.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ from .common import WordHashes, discard, mix64, written
 BANDS, ROWS = 30, 5
 SKETCH_BITS = 512
 SET_BITS = 2048
+BLOCK = 1024
 _hashes = WordHashes()
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -79,45 +83,119 @@ def sketch_limit(threshold: float, slack_sigmas: float = 7.0) -> int:
     return math.ceil(n / 2 * (1 - math.exp(-2 * d / n)))
 
 
+def set_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a whole set. The XOR of two has no more odd bits than the sets have differing
+    members, so unlike the samples' sketch it never discards a true link."""
+    odd = np.bincount((shingles % np.uint64(SET_BITS)).astype(np.int64), minlength=SET_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signatures(width: int):
     def run(batches):
         for batch in batches:
-            ids, n, digest, bands, sketch = batch.column(0), [], [], [], []
+            n, rows = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 s = shingle_set(text, width)
                 n.append(len(s))
                 if len(s):
                     samples = min_hashes(s)
-                    digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    bands.append(band_keys(samples))
-                    sketch.append(odd_sketch(samples))
+                    rows.append((xxhash.xxh3_128_digest(s.tobytes()), band_keys(samples), odd_sketch(samples), set_sketch(s)))
                 else:
-                    digest.append(None)
-                    bands.append(None)
-                    sketch.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "bands", "sketch"],
-            )
+                    rows.append((None,) * 4)
+            kinds = (pa.binary(), *[pa.list_(pa.int64())] * 3)
+            made = [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *made], ["doc_id", "n_shingles", "digest", "bands", "sketch", "whole"])
 
     return run
 
 
-def set_sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity bitmap of a whole set. The XOR of two has no more odd bits than the sets have differing
-    members, so unlike the samples' sketch it never discards a true link."""
-    odd = np.bincount((shingles % np.uint64(SET_BITS)).astype(np.int64), minlength=SET_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def _packed(batches):
+    """(doc_id, text) to (rep, packed): the text compressed, as it is shuffled more than once."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(pack, batch.column(1).cast(pa.binary()).to_pylist()), pa.binary())], ["rep", "packed"])
+
 
+def _linked(width: int, pct: int):
+    """Of rows (a, b, x, y) with packed texts, the pairs (a, b) whose full sets are similar enough."""
 
-def _sets(width: int):
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        recent: dict[bytes, np.ndarray] = {}
+
+        def full(packed: bytes) -> np.ndarray:
+            if packed not in recent:
+                if len(recent) >= 64:
+                    recent.pop(next(iter(recent)))
+                recent[packed] = shingle_set(unpack(packed), width)
+            return recent[packed]
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                s, t = full(x.as_py()), full(y.as_py())
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(both * 100 >= (len(s) + len(t) - both) * pct)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _longs(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _close_in_blocks(pct: int, limit: int):
+    """Of rows sorted by (key, one, two), the pairs within each such run that lie in different groups and
+    may be similar enough by size, by samples and by whole sets. A run holds two blocks at most."""
+    names = ("key", "one", "two", "rep", "group", "block", "n")
+
+    def pairs(rows: dict[str, np.ndarray]):
+        m = len(rows["rep"])
+        new = np.ones(m, bool)
+        new[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in names[:3]], axis=0)
+        starts = np.flatnonzero(new)
+        end = np.repeat(np.append(starts[1:], m), np.diff(np.append(starts, m)))
+        partners = end - np.arange(m) - 1
+        total = np.cumsum(partners)
+        at = 0
+        while at < m:
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 200_000)))
+            i = np.repeat(np.arange(at, to), partners[at:to])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(partners[at:to]) - partners[at:to], partners[at:to])
+            at = to
+            p, q = rows["n"][i], rows["n"][j]
+            ok = (rows["group"][i] != rows["group"][j]) & (np.minimum(p, q) * 100 >= np.maximum(p, q) * pct)
+            ok &= (rows["one"][i] == rows["two"][i]) | (rows["block"][i] != rows["block"][j])
+            i, j, most = i[ok], j[ok], (p + q)[ok] * (100 - pct)
+            for column in ("whole", "sketch"):
+                odd = np.bitwise_count(rows[column][i] ^ rows[column][j]).sum(axis=1, dtype=np.int64)
+                ok = odd * (100 + pct) <= most if column == "whole" else odd <= limit
+                i, j = i[ok], j[ok]
+            a, b = rows["rep"][i], rows["rep"][j]
+            yield np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches):
+        held = None
+
+        def out(rows):
+            for a, b in pairs(rows):
+                if len(a):
+                    a, b = np.unique(np.stack([a, b]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([set_sketch(s) for s in sets], pa.list_(pa.int64()))],
-                ["rep", "shingles", "whole"],
-            )
+            if not batch.num_rows:
+                continue
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names} | {"sketch": _longs(batch.column("sketch"), SKETCH_BITS // 64), "whole": _longs(batch.column("whole"), SET_BITS // 64)}
+            if held is not None:
+                rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
+            last = np.all([rows[c] == rows[c][-1] for c in names[:3]], axis=0)  # this run may go on
+            held = {c: v[last] for c, v in rows.items()}
+            if not last.all():
+                yield from out({c: v[~last] for c, v in rows.items()})
+        if held is not None:
+            yield from out(held)
 
     return run
 
@@ -154,9 +232,9 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 80, width: int = 5, ma
     each give a row. Rows without a doc_id link with nothing: component_id is null, kept is true. Other
     columns are ignored; an empty table gives no rows."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sigs = written(base.mapInArrow(_signatures(width), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"), "signatures")
+    sigs = written(base.mapInArrow(_signatures(width), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>, whole array<long>"), "signatures")
     reps = written(
-        sigs.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        sigs.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct(F.col("n_shingles").alias("n"), "bands", "sketch", "whole"), "doc_id").alias("x")).select("digest", "rep", "x.*"),
         "classes",
     )
     edges = _links(base, reps, threshold_pct, width, max_pivot_rounds)
@@ -169,54 +247,52 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 80, width: int = 5, ma
 
 def _links(base: DataFrame, reps: DataFrame, pct: int, width: int, max_pivot_rounds: int) -> DataFrame:
     """Links (a, b) between class representatives that join the same documents as all links do."""
-    spark = base.sparkSession
     entry = reps.select("rep", F.explode("bands").alias("key"))
     shared = entry.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key", F.col("lo").alias("pivot"))
     members = written(entry.join(shared, "key"), "buckets")
-    wanted = members.select("rep").distinct()
-    sets = written(base.join(wanted, base.doc_id == wanted.rep, "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "rep long, shingles array<long>, whole array<long>"), "sets")
-    side = lambda x: sketch.select(*[F.col(c).alias(c + x) for c in ("rep", "n", "sketch", "whole")])
-    sketch = written(reps.select("rep", "sketch", "n").join(sets.select("rep", F.size("shingles").cast("long").alias("n"), "whole"), ["rep", "n"]), "sketches")
     limit = sketch_limit(pct / 100)
+    sketch = reps.select("rep", "n", "sketch", "whole")
+    side = lambda x: sketch.select(*[F.col(c).alias(c + x) for c in sketch.columns])
 
-    def close():
-        """Of sides 1 and 2: sizes, then samples, then whole sets may be similar enough."""
+    def nearest(pairs: DataFrame) -> DataFrame:
+        """Of pairs (rep, pivot), those that may be similar enough by size, samples and whole sets; of each
+        rep the one that differs least. Its other pairs come up again if this one is no link."""
         odd = lambda c: F.expr(f"aggregate(zip_with({c}1, {c}2, (p, q) -> bit_count(p ^ q)), 0, (s, p) -> s + p)")
+        both = pairs.join(side("1"), F.col("rep") == F.col("rep1")).join(side("2"), F.col("pivot") == F.col("rep2"))
         sizes = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * pct
         # with i in common of u in all, u - i differ; 100 i >= pct u leaves at most (100 - pct) / (100 + pct) of n1 + n2
-        return sizes & (odd("sketch") <= limit) & (odd("whole") * (100 + pct) <= (F.col("n1") + F.col("n2")) * (100 - pct))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), the links: first by size and sketches, then on the full sets."""
-        near = pairs.join(side("1").withColumnRenamed("rep1", "a"), "a").join(side("2").withColumnRenamed("rep2", "b"), "b")
-        return exact(near.where(close()).select("a", "b"))
+        ok = sizes & (odd("whole") * (100 + pct) <= (F.col("n1") + F.col("n2")) * (100 - pct)) & (odd("sketch") <= limit)
+        best = both.where(ok).groupBy("rep").agg(F.min_by("pivot", F.struct(odd("whole") + odd("sketch"), "pivot")).alias("pivot"))
+        return best.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
 
-    def exact(near: DataFrame) -> DataFrame:
-        full = near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        return full.where(both * 100 >= (F.size("x") + F.size("y") - both) * pct).select("a", "b").distinct()
+    # a doc_id that is repeated with other texts has several; a link of any of them counts
+    texts = written(base.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(_packed, "rep long, packed binary").join(members.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep", "packed"]), "texts")
 
-    def pair(x, y):
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+    def links(near: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those whose full sets are similar enough."""
+        near = written(near, "candidates")
+        full = near.join(texts.select(F.col("rep").alias("a"), F.col("packed").alias("x")), "a").join(texts.select(F.col("rep").alias("b"), F.col("packed").alias("y")), "b")
+        return written(full.select("a", "b", "x", "y").mapInArrow(_linked(width, pct), "a long, b long").distinct(), "links")
 
-    first = members.where("rep <> pivot").select(*pair(F.col("rep"), F.col("pivot"))).distinct()
-    edges = written(confirmed(first), "links")
-    left = members.select("key", "rep")
+    edges = links(nearest(members.where("rep <> pivot").select("rep", "pivot").distinct()))
+    new, left = edges, members.select("key", "rep")
     for turn in range(max_pivot_rounds + 1):
         groups = components(edges)
+        edges = written(groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")), "stars")
         named = left.join(groups, left.rep == groups.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("group"))
         mixed = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("m"), F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("h"), F.col("rep").alias("pivot"), F.col("group").alias("pivot_group"))).alias("p")).where("lo <> hi")
         left = written(named.join(mixed.select("key", "m", "p.pivot", "p.pivot_group"), "key"), "unresolved")
         n, all_pairs = left.agg(F.count("*"), F.coalesce(F.sum((F.col("m") - 1) / 2), F.lit(0.0))).first()
         if not n:
             break
-        if turn == max_pivot_rounds or all_pairs <= 16 * n:
-            one, two = (left.select("key", F.col("rep").alias(f"rep{x}"), F.col("group").alias(f"group{x}")).join(side(x), f"rep{x}") for x in "12")
-            pairs = one.join(two, "key").where((F.col("rep1") < F.col("rep2")) & (F.col("group1") != F.col("group2")) & close())
-            found = exact(pairs.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct())
-            edges = edges.unionByName(written(found, "links"))
+        if turn == max_pivot_rounds or all_pairs <= 16 * n or turn and new.count() * 50 < n and all_pairs <= 4096 * n:
+            blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+            dealt = left.select("key", "rep", "group", blocks.alias("blocks"), F.pmod(F.xxhash64("rep", F.lit(turn)), blocks).cast("int").alias("block"))
+            dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            dealt = dealt.select("key", "rep", "group", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+            runs = dealt.join(sketch, "rep").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+            edges = edges.unionByName(links(runs.mapInArrow(_close_in_blocks(pct, limit), "a long, b long").distinct()))
             break
-        pairs = left.where("group <> pivot_group").select(*pair(F.col("rep"), F.col("pivot"))).distinct()
-        edges = edges.unionByName(written(confirmed(pairs), "links"))
-        left = left.select("key", "rep")
+        new = links(nearest(left.where("group <> pivot_group").select("rep", "pivot").distinct()))
+        edges, left = edges.unionByName(new), left.select("key", "rep")
     return edges
