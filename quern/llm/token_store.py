@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -165,13 +166,18 @@ def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 class Encoder:
-    """Whole texts to ids with a byte-level BPE tokenizer, through a memory of the pieces between spaces.
+    """Whole texts to ids with a byte-level BPE tokenizer, through a memory of pre-tokens.
 
-    The tokenizer's pre-tokens never reach over a single space that stands between two other characters, so
-    such pieces can be encoded on their own. Texts where white space meets white space at a space, or that
-    hold a special token's string, go to the tokenizer whole."""
+    Pre-tokens are encoded each on their own, so a text's ids are those of its pre-tokens end to end. Texts of
+    the Latin letters, digits and signs below are cut by a plain pattern, where its classes say the same as the
+    tokenizer's Unicode ones; texts with other characters or a special token's string, and all texts of a
+    tokenizer that isn't of this kind, go to the tokenizer whole."""
 
-    SPACES = [chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)]
+    LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
+    DIGITS = "0-9²³¹¼½¾"
+    SPACES = r"\t\n\r \u00a0\u202f"
+    SIGNS = "!-/:-@[-`{-~¡-©«-±´¶-¸»¿×÷‐-‧‰-›€™"
+    CUT = rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 
     def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
@@ -179,64 +185,58 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.inner: dict[str, bytes] = {}
-        self.atoms: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_feed, self.word = feed[0], re.compile(f" ?[^{self.SPACES}]+").fullmatch
+        self.cuts = len(feed) == 1 and spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.find = re.compile(self.CUT).findall
+        self.known = re.compile(f"[{self.SPACES}{self.LETTERS}{self.DIGITS}{self.SIGNS}]*").fullmatch
+        self.memory: dict[str, bytes] = {}
         self.limit = limit
 
-    @staticmethod
-    def _bytes(encoding) -> bytes:
-        return struct.pack(f"<{len(encoding.ids)}I", *encoding.ids)
-
-    @staticmethod
-    def _atoms(piece: str) -> list[str]:
-        """A piece, its space in front, cut where pre-tokens are bound to end: around single line feeds between
-        other characters, and between letters and the punctuation after them."""
-        parts = piece.split("\n")
-        if not all(parts):
-            return [" " + piece]
-        out: list[str] = []
-        for i, part in enumerate(parts):
-            if i:
-                out.append("\n")
-            word = part.rstrip(".,;:!?")
-            lead = "" if i else " "
-            if word != part and word.isalpha():
-                out += (lead + word, part[len(word) :])
-            else:
-                out.append(lead + part)
-        return out
-
-    def _learn(self, pieces: set[str]) -> None:
-        cut = {p: self._atoms(p) for p in pieces}
-        new = list(set().union(*cut.values()) - self.atoms.keys())
-        if len(self.atoms) + len(new) > self.limit:
-            self.atoms.clear()
-            new = list(set().union(*cut.values()))
-        self.atoms.update(zip(new, map(self._bytes, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        get = self.atoms.__getitem__
-        self.inner.update((p, b"".join(map(get, a))) for p, a in cut.items())
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember the ids of pre-tokens. Those without white space but one leading space are encoded some
+        thousand at a time, a line each: a line feed between them is a pre-token of its own, and its byte is in
+        no other's ids."""
+        lines = [w for w in new if self.word(w)]
+        for at in range(0, len(lines), 4096):
+            words = lines[at : at + 4096]
+            data = self._bytes("\n".join(words))
+            ends = np.flatnonzero(np.frombuffer(data, "<u4") == self.line_feed)
+            if len(ends) != len(words) - 1:
+                raise ValueError("the tokenizer joins pre-tokens over a line feed")
+            start = 0
+            for word, end in zip(words, (ends * 4).tolist() + [len(data)], strict=True):
+                self.memory[word] = data[start:end]
+                start = end + 4
+        for w in new - set(lines):
+            self.memory[w] = self._bytes(w)
 
     def _plain(self, text: str) -> bool:
-        spaces = self.SPACES[:10] if text.isascii() else self.SPACES
-        return not (text.startswith(" ") or text.endswith(" ") or any(s in text and (s + " " in text or " " + s in text) for s in spaces) or any(s in text for s in self.special))
+        return self.cuts and self.known(text) is not None and not any(s in text for s in self.special)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        split = [t.split(" ") if t and self._plain(t) else None for t in texts]
-        need = set().union(*(w[1:] for w in split if w)) - self.inner.keys()
-        if need:
-            if len(self.inner) + len(need) > self.limit:
-                self.inner.clear()
-                need = set().union(*(w[1:] for w in split if w))
-            self._learn(need)
-        for text, words in zip(texts, split, strict=True):
+        cut = [self.find(t) if t and self._plain(t) else None for t in texts]
+        distinct = set().union(*filter(None, cut))
+        new = distinct - self.memory.keys()
+        if len(self.memory) + len(new) > self.limit:
+            self.memory.clear()
+            new = distinct
+        self._learn(new)
+        get = self.memory.__getitem__
+        for text, words in zip(texts, cut, strict=True):
             if not text:
                 yield b""
             elif words is None:
-                yield self._bytes(self.tokenizer.encode(text, add_special_tokens=False))
+                yield self._bytes(text)
             else:
-                first = self._bytes(self.tokenizer.encode(words[0], add_special_tokens=False))
-                yield first + b"".join(map(self.inner.__getitem__, words[1:]))
+                yield b"".join(map(get, words))
 
 
 _encoders: dict[str, Encoder] = {}

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -373,3 +374,14 @@ def test_top_k_as_brute_force(spark):
 
 def test_crc_of_ids():
     assert token_store.ids_crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\1\0\0\0\2\0\0\0")
+
+
+def test_encoder_as_the_tokenizer_on_each_character_and_on_mixed_texts():
+    enc = token_store.Encoder(BPE)
+    rng = random.Random(5)
+    letters = [*"ab AB'sètl  \n\t\r12²½.,;:!?-—…«»()\"“”€™ßœªº´¸\xa0 \x0b\x0c\x1c\x85漢я😀", "'s", "'ll", " 't", "  ", "\n\n", "<|endoftext|>"]
+    mixed = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(3000)]
+    around = [x for c in map(chr, range(0x2200)) for x in (f"a{c}b", f" {c}", f"{c} x", f"1{c}2", f".{c}.", f"  {c}")]
+    for batch in (mixed, around):
+        for text, data in zip(batch, enc(batch), strict=True):
+            assert list(struct.unpack(f"<{len(data) // 4}I", data)) == enc.tokenizer.encode(text, add_special_tokens=False).ids
