@@ -9,7 +9,7 @@ from quern.functions import text as T
 from quern.operators import findings as A
 from quern.operators import measures as M
 from quern.operators import rules as R
-from quern.plans import registry
+from quern.plans import registry, reporting  # noqa: F401
 from quern.sources import readers
 from quern.streaming import jobs
 
