@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import findings as A
 from ..operators import reports as P
 from ..operators import rules as R
+from ..operators import syntax as S
 from ..sources import readers
-from .registry import ARTIFACTS, _scan_sql, artifacts, query, r6
+from .registry import ARTIFACTS, DIFFED, GATE, SUPPRESSED, _gated, _scan_sql, artifacts, query, r6
 
 
 def _applies(rule: R.Rule) -> str:
@@ -238,3 +240,30 @@ def code_actions(t):
     d = t("supplier").selectExpr("s_suppkey as edit_ord", "concat('r', s_suppkey % 40) as rule_id", "cast(s_suppkey % 50 + 1 as int) as start_line", "s_suppkey % 3 <> 0 as fixed")
     first = t("findings").groupBy("rule_id", "start_line").agg(F.min(F.struct("ord", "end_line")).alias("f"))
     return d.join(first, ["rule_id", "start_line"]).select("edit_ord", "f.ord", F.when(F.col("fixed"), "edit").otherwise("advice").alias("kind"), F.col("f.end_line").alias("edit_end"))
+
+
+@query(f"select g.run_id, concat('Decision: ', g.decision, ' based on ', cast(count(*) filter (suppressed_by is null) as varchar), ' findings', case when count(suppressed_by) > 0 then concat(', ', cast(count(suppressed_by) as varchar), ' suppressed') else '' end) as reason from {GATE} g join {SUPPRESSED % DIFFED} f on f.run_id = g.run_id group by g.run_id, g.decision")
+def verdict_reason(t):
+    """What a verdict says of itself; absent findings count, suppressed ones apart."""
+    f = _gated(t)
+    n = f.groupBy("run_id").agg(F.count_if(F.col("suppressed_by").isNull()).alias("open"), F.count("suppressed_by").alias("hidden"))
+    more = F.when(F.col("hidden") > 0, F.concat(F.lit(", "), F.col("hidden").cast("string"), F.lit(" suppressed"))).otherwise("")
+    return A.gate(f).join(n, "run_id").select("run_id", F.concat(F.lit("Decision: "), "decision", F.lit(" based on "), F.col("open").cast("string"), F.lit(" findings"), more).alias("reason"))
+
+
+def _sources(t) -> DataFrame:
+    """A Python file a user: parameters, nested ifs, a handler and a line an event."""
+    u = t("events").groupBy("user_id").agg(F.count("*").cast("int").alias("n"))
+    ifs = "transform(sequence(1, cast(user_id % 7 + 1 as int)), i -> concat(repeat(' ', i), 'if x:\\n'))"
+    head = "concat('def f(', array_join(transform(sequence(1, cast(user_id % 8 + 1 as int)), i -> concat('a', i)), ', '), '):\\n try:\\n  x = 1\\n except ValueError:\\n  ', if(user_id % 2 = 0, 'pass', 'x = 2'), '\\n')"
+    body = f"concat({head}, array_join({ifs}, ''), repeat(' ', cast(user_id % 7 + 2 as int)), 'x = 3\\n', repeat(' y = 1\\n', n), 'z = 2\\n')"
+    return u.select(F.expr("concat('src/u', user_id, if(user_id % 10 = 9, '.txt', '.py'))").alias("path"), F.expr(body).alias("content"))
+
+
+USER_FILES = "(select user_id as u, count(*) as n, 6 + user_id % 7 + 1 + count(*) as last from {events} where user_id % 10 <> 9 group by user_id)"
+AST_ROW = "select concat('src/u', cast(u as varchar), '.py') as uri, "
+
+
+@query(f"{AST_ROW} 'AST001' as rule_id, 1 as start_line, cast(last as integer) as end_line from {USER_FILES} where last > 50 union all {AST_ROW} 'AST004', 1, cast(last as integer) from {USER_FILES} where u % 8 + 1 > 5 union all {AST_ROW} 'AST003', 4, 5 from {USER_FILES} where u % 2 = 0 union all {AST_ROW} 'AST002', 10, cast(6 + u % 7 + 1 as integer) from {USER_FILES} where u % 7 + 1 > 4")
+def ast_scan(t):
+    return S.syntax_scan(_sources(t)).select("uri", "rule_id", "start_line", "end_line")

@@ -9,6 +9,7 @@ from quern.functions import text as T
 from quern.operators import findings as A
 from quern.operators import measures as M
 from quern.operators import rules as R
+from quern.operators import reports, syntax
 from quern.plans import registry, reporting  # noqa: F401
 from quern.sources import readers
 from quern.streaming import jobs
@@ -124,3 +125,34 @@ def test_streams_agree_with_batch(spark, tmp_path):
     q = jobs.hourly(stream).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert spark.table("hours").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_syntax_checks(spark):
+    source = """
+def ok(a, b, *args, c=1, **kw):
+    if a:
+        pass
+    elif b:
+        for x in a:
+            while x:
+                with x:
+                    if x: pass
+    return 1
+async def wide(a, b, c, /, d, e, *f: int):
+    try:
+        ok(a)
+    except:
+        pass
+    except ValueError:
+        pass; ok(b)
+"""
+    files = spark.createDataFrame([("a.py", source), ("b.py", "def f(:"), ("c.go", source), ("d.py", None), ("e.py", "")], "path string, content string")
+    found = sorted((r.uri, r.rule_id, r.start_line, r.end_line) for r in syntax.syntax_scan(files).collect())
+    assert found == [("a.py", "AST002", 9, 9), ("a.py", "AST003", 14, 15), ("a.py", "AST004", 11, 17)]
+
+
+def test_policy_overlay(spark):
+    rows = [("p", 0, "d", "s", "i", True), ("p", 1, "", "t", "", False), ("q", 0, "d", "", "", True), ("q", 1, "", "", "", False), ("r", 0, None, None, None, None)]
+    df = spark.createDataFrame(rows, "name string, layer int, description string, severity string, instruction string, enabled boolean")
+    got = {r.name: tuple(r)[1:] for r in reports.policy_overlay(df, ["description", "severity", "instruction"]).collect()}
+    assert got == {"p": ("d", "t", "i", True), "q": ("d", "", "", False), "r": ("", "", "", False)}
