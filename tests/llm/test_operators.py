@@ -156,6 +156,19 @@ def test_quality_scores_every_row(spark):
     assert model == quality.fit(frame, labels)
 
 
+@pytest.mark.parametrize("long_class", [0, 1])
+def test_quality_fits_past_a_text_longer_than_its_class(spark, long_class):
+    words = ("alpha beta gamma delta", "one two three four")
+    ids = [i for i in range(300) if texts.crc(i) % 3 != 1]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    first = labels.where(F.col("quality") == long_class).orderBy(F.xxhash64("doc_id", F.lit(5))).first().doc_id
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choices(words[i % 2].split(), k=9000 if i == first else 40))) for i in ids]
+    frame = texts.frame(spark, docs)
+    rows = quality.score(frame, quality.fit(frame, labels, class_bytes=32 << 10)).collect()
+    assert sum((r.quality_score >= 0.5) == (r.doc_id % 2 == 1) for r in rows) > 0.9 * len(rows)
+
+
 def test_secret_base_spans_as_brute_force(spark):
     docs = texts.awkward() + [(300, "PASSWORD: 'abc' token=secret=abcdef secret=token: abcdef12 É api-key api_key = \"q.q-q_q\""), (301, "é😀 AKIA" + "A" * 15 + " AKIA" + "B" * 16 + "akia" + "xAKIAAKIA" + "1" * 20), (302, "f" * 24 + "g" + "0" * 23 + " token=" + "ab" * 20)] * 2
     found = secrets.secret_report(texts.frame(spark, docs)).collect()
