@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,21 +21,34 @@ def tier_dedup(findings: DataFrame) -> DataFrame:
     return findings.where("uri is not null").withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
 
 
+def _keep_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ord of the findings to keep of sorted ones; only the best so far of one rule and uri is held."""
+    key = best = None
+    for batch in batches:
+        kept = []
+        for rule, uri, no, start, end, confidence in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sure = (confidence != confidence, confidence)  # noqa: PLR0124 (NaN is above all)
+            if best is None or key != (rule, uri):
+                if best is not None:
+                    kept.append(best[0])
+                key, best = (rule, uri), (no, start, end, sure)
+            elif None not in (start, end, best[1], best[2]) and start <= best[2] and best[1] <= end:
+                if sure > best[3]:
+                    best = (no, start, end, sure)
+            else:
+                kept.append(no)
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], ["ord"])
+    if best is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([best[0]], pa.int64())], ["ord"])
+
+
 def overlap_dedup(findings: DataFrame) -> DataFrame:
     """Per rule and uri, in order: a finding whose lines overlap the best so far replaces it if its
     confidence is higher and goes otherwise; one that doesn't overlap stays and is not compared again.
-    Findings without a location all stay."""
-    row = F.struct("ord", "start_line", "end_line", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
-
-    def fold(best: Column, x: Column) -> Column:
-        overlap = (x.start_line <= best.best.end_line) & (best.best.start_line <= x.end_line)
-        better = x.confidence > best.best.confidence
-        return F.struct(F.when(overlap & better, x).otherwise(best.best).alias("best"), F.when(overlap, best.kept).otherwise(F.array_append(best.kept, x.ord)).alias("kept"))
-
-    grouped = findings.where("uri is not null").groupBy("rule_id", "uri").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    first = F.struct(F.element_at("rows", 1).alias("best"), F.array().cast("array<bigint>").alias("kept"))
-    ords = F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), first, fold, lambda s: F.array_append(s.kept, s.best.ord))
-    kept = grouped.select(F.explode(ords).alias("ord"))
+    Findings without a location all stay. The sorted rows of a rule and uri are streamed, not gathered."""
+    order = ["rule_id", "uri", "ord", "start_line", "end_line", "confidence"]
+    placed = findings.where("uri is not null").select("rule_id", "uri", F.col("ord").cast("long").alias("ord"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"))
+    kept = placed.repartition("rule_id", "uri").sortWithinPartitions(*order).mapInArrow(_keep_best, "ord long")
     return findings.join(kept, "ord", "left_semi").unionByName(findings.where("uri is null"))
 
 

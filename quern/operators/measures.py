@@ -7,11 +7,38 @@ from pyspark.sql import functions as F
 
 
 def percentile(values: Column, p: float) -> Column:
-    """Lower nearest rank: the element at (n - 1) * p, cut to a whole number, of the sorted values."""
+    """Lower nearest rank: the element at (n - 1) * p, cut to a whole number, of the sorted values. Gathers all
+    values of a group; percentiles() doesn't."""
     a = F.array_sort(F.collect_list(values))
     return F.get(a, F.floor((F.size(a) - 1) * F.lit(p)).cast("int"))
 
 
+def percentiles(df: DataFrame, key: str, value: str, ps: dict[str, float]) -> DataFrame:
+    """percentile() of a numeric column by key for groups of any size: column name -> p. Null values don't count.
+
+    Values are counted before they are gathered, first by bin, which rises with the value. A running sum over a
+    key's bins tells the one that holds a rank, and only that bin's distinct values are summed up in turn."""
+    v = F.col("value").cast("double")
+    # NaN is sorted last, like in array_sort
+    place = F.when(F.isnan(v), F.lit(1 << 40)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v)) * 1024)).cast("long")
+    place = F.when(F.abs(v) == float("inf"), F.when(v > 0, 1 << 39).otherwise(-1 << 39)).otherwise(place)
+    counts = df.groupBy(F.col(key).alias("key"), F.col(value).alias("value")).agg(F.count(value).alias("n")).withColumn("bin", place)
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(p).alias("p")) for i, p in enumerate(ps.values())])).alias("x")
+    bins = counts.groupBy("key", "bin").agg(F.sum("n").alias("n"))
+    whole, so_far = Window.partitionBy("key"), Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.where("bin is not null").select("key", "bin", "n", F.sum("n").over(so_far).alias("top"), F.sum("n").over(whole).alias("total"))
+    rank = F.floor((F.col("total") - 1) * F.col("x.p"))
+    picks = bins.select("*", wanted).withColumn("rank", rank).where("rank < top and rank >= top - n").select(F.col("key").alias("p_key"), F.col("bin").alias("p_bin"), "x.no", (F.col("rank") - F.col("top") + F.col("n")).alias("rank"))
+    # a key has one row a percentile
+    inside = counts.join(picks, F.col("key").eqNullSafe(F.col("p_key")) & (F.col("bin") == F.col("p_bin")))
+    upto = Window.partitionBy("key", "no").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    found = inside.withColumn("top", F.sum("n").over(upto)).where("rank < top and rank >= top - n")
+    by_key = found.groupBy("key").agg(*[F.max(F.when(F.col("no") == i, F.col("value"))).alias(c) for i, c in enumerate(ps)]).withColumnRenamed("key", "f_key")
+    # keys without any value have a row of nulls
+    keys = counts.select("key").distinct()
+    return keys.join(by_key, F.col("key").eqNullSafe(F.col("f_key")), "left").select(F.col("key").alias(key), *ps)
+
+
 def safe(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(0.0)
 

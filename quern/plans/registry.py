@@ -264,7 +264,7 @@ def metrics_by_tier(t):
 
 @query("select tier, a[cast(floor((len(a) - 1) * 0.5) as int) + 1] as p50, a[cast(floor((len(a) - 1) * 0.95) as int) + 1] as p95, a[cast(floor((len(a) - 1) * 0.99) as int) + 1] as p99 from (select tier, list_sort(list(ms)) as a from {analysis_events} group by tier)")
 def latency_percentiles(t):
-    return t("analysis_events").groupBy("tier").agg(*[M.percentile(F.col("ms"), p).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    return M.percentiles(t("analysis_events"), "tier", "ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query("select cast(date_trunc('hour', ts) as timestamp) as hour, count(*) as n, cast(sum(finding_count) as bigint) as findings from {analysis_events} group by 1")

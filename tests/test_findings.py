@@ -72,6 +72,34 @@ def test_percentile_is_lower_nearest_rank(spark):
     assert df.agg(M.percentile(F.col("v"), 0.95)).first()[0] == 9
 
 
+def test_percentiles_as_sorted_lists(spark):
+    rng = random.Random(7)
+    rows = [(k, v) for k in ("a", "b", None) for v in [rng.choice([-3.5, 0.0, 1.0, 1.0001, 1e9, float("inf"), float("-inf"), rng.random()]) for _ in range(rng.randrange(1, 60))] + [None]]
+    df = spark.createDataFrame([*rows, ("none", None)], "k string, v double")
+    ps = {"low": 0.0, "mid": 0.5, "high": 0.99, "top": 1.0}
+    want = df.groupBy("k").agg(*[M.percentile(F.col("v"), p).alias(c) for c, p in ps.items()])
+    assert sorted(map(repr, M.percentiles(df, "k", "v", ps).collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["latency_percentiles", "overlap_dedup"])
+def test_no_group_is_gathered_in_one_array(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_overlap_dedup_of_one_hot_file_as_a_loop(spark):
+    rng = random.Random(9)
+    rows = [(i, "r", "u", (lo := rng.randrange(200)), lo + rng.randrange(3), rng.choice([None, 0.1, 0.5, 0.9])) for i in range(30_000)]
+    kept, best = [], rows[0]
+    for x in rows[1:]:
+        if x[3] <= best[4] and best[3] <= x[4]:
+            best = x if (x[5] or 0) > (best[5] or 0) else best
+        else:
+            kept.append(x[0])
+    df = spark.createDataFrame([*rows, (-1, "r", None, 1, 1, 0.5)], "ord long, rule_id string, uri string, start_line int, end_line int, confidence double")
+    assert sorted(r.ord for r in A.overlap_dedup(df).collect()) == sorted([*kept, best[0], -1])
+
+
 def score(expected, actual, tolerance):
     used = set()
     for level, rule, lo, hi in expected:
