@@ -256,6 +256,22 @@ def test_language_model_is_a_distribution_and_joins_rare_words(spark, monkeypatc
     assert got(pitman_yor.score(frame, model), "doc_id", "n_known", F.round("base_score", 3), F.round("score", 3)) == all_known
 
 
+def test_language_model_learns_word_pairs(spark):
+    """Words of one class and frequency: only the preceding word itself tells which follows."""
+    rng = random.Random(4)
+    words = [f"w{i}xx" for i in range(40)]
+    after = dict(zip(words, rng.sample(words, 40), strict=True))
+    docs = []
+    for i in range(200):
+        chosen = rng.sample(words, 10)
+        docs.append((i, " ".join(f"{w} {after[w]}" for w in chosen)))
+    likely = (10_000, " ".join(f"{w} {after[w]}" for w in words[:10]))
+    unlikely = (10_001, " ".join(f"{w} {after[words[(j + 1) % 10]]}" for j, w in enumerate(words[:10])))
+    model = pitman_yor.train(texts.frame(spark, docs))
+    one, two = sorted(pitman_yor.score(texts.frame(spark, [likely, unlikely]), model).collect(), key=lambda r: r.doc_id)
+    assert one.base_score == pytest.approx(two.base_score) and one.score > two.score + 5
+
+
 def test_reseating_follows_the_restaurant():
     """Drawn numbers of tables agree with seating one customer after the other."""
     rng, d, w, p = np.random.default_rng(2), 0.6, 40.0, 0.3
