@@ -57,8 +57,7 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pitman_yor.score(docs, pitman_yor.train(docs.where(~pitman_yor.held_out(F.col("doc_id")))))
+    return pitman_yor.language_model(table(spark, sf_dir, "documents"), pitman_yor.held_out(F.col("doc_id")))
 
 
 def op8_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
