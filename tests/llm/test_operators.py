@@ -78,8 +78,9 @@ def test_empty_tables(spark):
     assert all(0 <= r.quality_score <= 1 for r in quality.score(some, model).collect())
     assert secrets.secret_report(none).count() == 0
     assert token_store.token_table(none, BPE).count() == 0
-    assert pitman_yor.score(none, pitman_yor.train(none)).count() == 0
-    assert pitman_yor.score(some, pitman_yor.train(none)).count() == 2
+    assert pitman_yor.language_model(none).count() == 0
+    unlearnt = pitman_yor.language_model(some, F.lit(True)).collect()
+    assert [(r.n_known, r.train_tokens, r.score) for r in unlearnt] == [(0, 0, 0.0)] * 2
     assert piece_counts.piece_counts(none, BPE).count() == 0
     assert mixing.mix(none, queries.LEVELS, queries.WEIGHTS).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
@@ -225,17 +226,23 @@ def test_encoder_on_odd_spaces():
     assert all(np.frombuffer(a, "<u4").tolist() == b.ids for a, b in zip(enc(cases), want, strict=True))
 
 
+def lm_tokens(text):
+    return [*re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())), None]
+
+
+def lm_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=texts.key)
+
+
 def test_language_model(spark):
-    docs = texts.awkward()
+    docs = [*texts.awkward(), (600, "a b"), (601, "a \x00end"), (602, "x " * 700_000), (None, "")]
     frame = texts.frame(spark, docs)
-    model = pitman_yor.train(frame.where(~pitman_yor.held_out(F.col("doc_id"))))
-    tokens = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())), None]
-    c = Counter(w for i, t in docs if i is None or texts.crc(i) % 5 != 1 for w in tokens(t))
+    c = Counter(w for i, t in docs if i is None or texts.crc(i) % 5 != 1 for w in lm_tokens(t))
     n, v = sum(c.values()), len(c)
-    rows = sorted(pitman_yor.score(frame, model).collect(), key=lambda r: texts.key((r.doc_id, r.n_tokens)))
+    rows = sorted(pitman_yor.language_model(frame, pitman_yor.held_out(F.col("doc_id"))).collect(), key=lambda r: texts.key((r.doc_id, r.n_tokens)))
     assert len(rows) == len(docs)
-    for r, (i, t) in zip(rows, sorted(docs, key=lambda d: texts.key((d[0], len(tokens(d[1]))))), strict=True):
-        w = tokens(t)
+    for r, (i, t) in zip(rows, sorted(docs, key=lambda d: texts.key((d[0], len(lm_tokens(d[1]))))), strict=True):
+        w = lm_tokens(t)
         assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i, i is not None and texts.crc(i) % 5 == 1, len(w), sum(c[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
         assert r.score < 0
@@ -243,21 +250,63 @@ def test_language_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_language_model_is_a_distribution_and_joins_rare_words(spark, monkeypatch):
+def test_language_model_does_not_depend_on_blocks_or_batches(spark, monkeypatch):
     docs = texts.awkward(2)
-    frame = texts.frame(spark, docs)
-    model = pitman_yor.train(frame.where(~pitman_yor.held_out(F.col("doc_id"))))
-    words, _, logs = pitman_yor._frequent(model)
-    gains, unseen = np.array(model.gains), np.array(model.unseen)
-    total = (10.0 ** logs.astype(float)).sum(axis=0) + (gains * unseen[:, None]).mean(axis=0)
-    assert len(words) == model.v and total == pytest.approx(np.ones(pitman_yor.CLASSES), abs=1e-4)
-    all_known = got(pitman_yor.score(frame, model), "doc_id", "n_known", F.round("base_score", 3), F.round("score", 3))
-    monkeypatch.setattr(pitman_yor, "HEAD", 100)
-    assert got(pitman_yor.score(frame, model), "doc_id", "n_known", F.round("base_score", 3), F.round("score", 3)) == all_known
+    frame, skip = texts.frame(spark, docs), pitman_yor.held_out(F.col("doc_id"))
+    want = lm_rows(pitman_yor.language_model(frame, skip))
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = lm_rows(pitman_yor.language_model(frame.repartition(3), skip))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for a, b in zip(found, want, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+
+
+def test_language_model_scores_as_the_seating_says(spark, monkeypatch):
+    """Scores from the final tables and laws by the plain formula; the probabilities after a context sum to 1."""
+    docs = [*texts.awkward(4), *((500 + i, "the end of the road is near the sea") for i in range(9))]
+    tables, laws = {}, []
+    real_written, real_score = pitman_yor.written, pitman_yor._score
+    monkeypatch.setattr(pitman_yor, "written", lambda df, name, by=None: tables.setdefault(name, []).append(real_written(df, name, by)) or tables[name][-1])
+    monkeypatch.setattr(pitman_yor, "_score", lambda *x: laws.append(x[2]) or real_score(*x))
+    rows = sorted(pitman_yor.language_model(texts.frame(spark, docs), pitman_yor.held_out(F.col("doc_id"))).collect(), key=lambda r: texts.key((r.doc_id, r.n_tokens)))
+    key = lambda w: pitman_yor._END if w is None else pitman_yor._START if w == "" else pitman_yor.xxhash.xxh3_64_intdigest(w)
+    pairs = lambda t: list(zip(["", *lm_tokens(t)[:-1]], lm_tokens(t), strict=True))
+    n = Counter((key(u), key(w)) for i, t in docs if i is None or texts.crc(i) % 5 != 1 for u, w in pairs(t))
+    c = Counter()
+    for (u, _), k in n.items():
+        c[u] += k
+    states = []
+    for s in range(len(laws[0])):
+        t = dict.fromkeys(n, 1)
+        for r in tables["seats"][-1].collect():
+            kept = pitman_yor.counts(r.kept, len(laws[0]))[s]
+            t |= dict(zip(zip(pitman_yor.unpack(r.u, rising=True).tolist(), pitman_yor.unpack(r.w).tolist(), strict=True), kept.tolist(), strict=True))
+        assert t.keys() == n.keys() and all(1 <= t[x] <= n[x] for x in n) and any(t[x] > 1 for x in n)
+        states.append(t)
+
+    def p(u, w):
+        total = 0
+        for law, t in zip(laws[0], states, strict=True):
+            k = sum(x for (_, b), x in t.items() if b == w)
+            everyone, words = sum(t.values()), len({b for _, b in t})
+            assert (law.customers, law.words) == (everyone, words)
+            parent = (k - law.d0 if k else law.theta0 + law.d0 * words) / (law.theta0 + everyone)
+            own = n[u, w] - law.d * t[u, w] if (u, w) in n else 0
+            total += (own + (law.theta + law.d * sum(x for (a, _), x in t.items() if a == u)) * parent) / (law.theta + c[u])
+        return total / len(states)
+
+    for r, (_, text) in list(zip(rows, sorted(docs, key=lambda d: texts.key((d[0], len(lm_tokens(d[1]))))), strict=True))[::7]:
+        if r.n_tokens < 130:
+            assert r.score == pytest.approx(sum(math.log10(p(key(u), key(w))) for u, w in pairs(text)))
+    for u in ("", b"the", b"unheard of"):
+        assert sum(p(key(u), w) for w in {b for _, b in n} | {0}) == pytest.approx(1)
 
 
 def test_language_model_learns_word_pairs(spark):
-    """Words of one class and frequency: only the preceding word itself tells which follows."""
+    """Words of one frequency: only the preceding word itself tells which follows."""
     rng = random.Random(4)
     words = [f"w{i}xx" for i in range(40)]
     after = dict(zip(words, rng.sample(words, 40), strict=True))
@@ -265,24 +314,73 @@ def test_language_model_learns_word_pairs(spark):
     for i in range(200):
         chosen = rng.sample(words, 10)
         docs.append((i, " ".join(f"{w} {after[w]}" for w in chosen)))
-    likely = (10_000, " ".join(f"{w} {after[w]}" for w in words[:10]))
-    unlikely = (10_001, " ".join(f"{w} {after[words[(j + 1) % 10]]}" for j, w in enumerate(words[:10])))
-    model = pitman_yor.train(texts.frame(spark, docs))
-    one, two = sorted(pitman_yor.score(texts.frame(spark, [likely, unlikely]), model).collect(), key=lambda r: r.doc_id)
+    docs.append((10_000, " ".join(f"{w} {after[w]}" for w in words[:10])))
+    docs.append((10_001, " ".join(f"{w} {after[words[(j + 1) % 10]]}" for j, w in enumerate(words[:10]))))
+    scored = pitman_yor.language_model(texts.frame(spark, docs), F.col("doc_id") >= 10_000)
+    one, two = sorted(scored.where("held_out").collect(), key=lambda r: r.doc_id)
     assert one.base_score == pytest.approx(two.base_score) and one.score > two.score + 5
-
-
-def test_reseating_follows_the_restaurant():
-    """Drawn numbers of tables agree with seating one customer after the other."""
-    rng, d, w, p = np.random.default_rng(2), 0.6, 40.0, 0.3
-    fast = pitman_yor.reseat(np.full(4000, 60), np.full(4000, p), np.full(4000, w), d, rng)
-    slow = []
-    for _ in range(3000):
-        t = 1
-        for n in range(1, 60):
-            t += rng.random() < w * p / (w * p + n - d * t)
-        slow.append(t)
-    assert fast.mean() == pytest.approx(np.mean(slow), rel=0.03)
+    known = {r.held_out: r.perplexity for r in pitman_yor.perplexity(scored).collect()}
+    assert known[True] == pytest.approx(10 ** (-(one.score + two.score) / (one.n_tokens + two.n_tokens)))
+
+
+@pytest.mark.parametrize(("n", "others", "words", "law"), [(2, 3, 1, pitman_yor.Law(0.5, 2.0, 0.3, 1.0, 9, 4)), (7, 4, 2, pitman_yor.Law(0.7, 5.0, 0.5, 10.0, 12, 5)), (40, 1, 3, pitman_yor.Law(0.3, 8.0, 0.6, 3.0, 20, 6))])
+def test_reseating_reaches_the_exact_posterior(n, others, words, law):
+    """Tables of one pair of n customers, of whose context others tables and of whose word so many tables stand elsewhere:
+    the chain's law against generalised Stirling numbers."""
+    m, rng = 6000, np.random.default_rng(2)
+    sizes, tables = np.full(m, n), np.ones(m, np.int64)
+    for _ in range(25 if n < 10 else 100):
+        # each row is a world of its own: the parent has as many more customers as the pair has tables
+        moved = []
+        for t in np.unique(tables):
+            at = np.flatnonzero(tables == t)
+            starts = np.cumsum(tables) - tables
+            part = np.concatenate([sizes[a : a + t] for a in starts[at]])
+            now = pitman_yor.Law(law.d, law.theta, law.d0, law.theta0, law.customers + int(t), law.words)
+            moved.append(pitman_yor.reseat(np.full(len(at), n), part, np.full(len(at), t), np.full(len(at), others + t), np.full(len(at), words + t), now, rng))
+        sizes, tables = (np.concatenate(x) for x in zip(*moved, strict=True))
+        assert sizes.sum() == m * n and (sizes > 0).all() and tables.sum() == len(sizes)
+    stirling = {(1, 1): 1.0}
+    for k in range(2, n + 1):
+        for t in range(1, k + 1):
+            stirling[k, t] = stirling.get((k - 1, t - 1), 0.0) + (k - 1 - law.d * t) * stirling.get((k - 1, t), 0.0)
+    weight = []
+    for t in range(1, n + 1):
+        w = stirling[n, t]
+        for i in range(t):
+            w *= (law.theta + law.d * (others + i)) * (words + i - law.d0) / (law.theta0 + law.customers + i)
+        weight.append(w)
+    want, found = np.array(weight) / sum(weight), np.bincount(tables, minlength=n + 1)[1:] / m
+    assert np.abs(found - want).max() < 0.03
+
+
+def test_laws_are_drawn_where_they_are_likely():
+    """Counts from a known restaurant lead back to its discount and strength."""
+    rng, d, theta = np.random.default_rng(5), 0.6, 10.0
+    tables, customers, sizes = [], [], []
+    for _ in range(300):
+        s = []
+        for i in range(60):
+            x = rng.random() * (theta + i) - (theta + d * len(s))
+            if x < 0:
+                s.append(1)
+            else:
+                s[np.searchsorted(np.cumsum(np.array(s) - d), x, "right")] += 1
+        tables.append(len(s)), customers.append(60), sizes.extend(s)
+    fits = np.concatenate([pitman_yor.openings(np.array(tables), np.array(customers)).ravel(), pitman_yor.rising(np.array([3, 1, 2]), pitman_yor.DISCOUNTS)])
+    law = pitman_yor.Law()
+    for _ in range(5):
+        law = pitman_yor._draw(law, np.array([6, 3]), fits, pitman_yor.rising(np.array(sizes), pitman_yor.DISCOUNTS), rng)
+    assert abs(law.d - d) < 0.11 and law.theta in (3.0, 10.0, 30.0)
+    x = np.array([0.05, 0.5, 1.0, 3.7, 250.0])
+    assert pitman_yor.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], abs=1e-6)
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for x in (np.zeros(0, np.uint64), np.array([0, 0, 5], np.uint64), np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64))):
+        assert (pitman_yor.unpack(pitman_yor.pack(x, rising=True), rising=True) == x).all() and (pitman_yor.unpack(pitman_yor.pack(x)) == x).all()
+    assert pitman_yor.counts(pitman_yor.pack(np.arange(6)), 2).tolist() == [[0, 1, 2], [3, 4, 5]]
 
 
 def greedy(word, initial, continuing):
