@@ -53,7 +53,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_store.token_table(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
-    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "n_end", "first_end")
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A wavelet matrix keeps a sequence as bit planes, from the most significant bit down; each plane is in the
 order that a stable sort by the bits above gives. Rank over a plane leads from a position to its place in
-the next plane, so the file answers access, rank (counts in a prefix), select and find without the ids."""
+the next plane, so the file answers access, rank (counts in a prefix), select and find without the ids. Planes are
+compressed in blocks with a directory of their ranks, so a query unpacks the blocks on its way and no more."""
 
 from __future__ import annotations
 
@@ -11,8 +12,7 @@ import os
 import re
 import struct
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import new_path, written
 
-MAGIC = b"QWVMTRX1"
+MAGIC = b"QWVMTRX2"
 END_ID = 2
+#: Bits of a plane that are compressed together and have their rank stored
+BLOCK_BITS = 1 << 19
 
 
 def build_planes(ids: np.ndarray, levels: int) -> tuple[list[np.ndarray], list[int]]:
@@ -41,137 +43,184 @@ def build_planes(ids: np.ndarray, levels: int) -> tuple[list[np.ndarray], list[i
 
 
 class WaveletMatrix:
-    """Queries on bit planes; blocks of 64 bits have their ranks stored, the bits inside are counted."""
-
-    def __init__(self, planes: list[np.ndarray], zeros: list[int], n: int):
-        self.n, self.zeros, self.planes = n, zeros, planes
-        self._words: list[np.ndarray] | None = None
-
-    def _ranks(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        if self._words is None:
-            self._words, self._before = [], []
-            for p in self.planes:
-                words = np.zeros(self.n // 64 + 1, np.uint64)
-                words.view(np.uint8)[: len(p)] = p
-                self._words.append(words)
-                self._before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]))
-        return self._words, self._before
-
-    def _rank1(self, level: int, i):
-        """Ones of a plane before position i (a number or an array)."""
-        words, before = self._ranks()
-        i = np.asarray(i, np.int64)
-        part = words[level][i >> 6] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
-        return before[level][i >> 6] + np.bitwise_count(part).astype(np.int64)
+    """Queries on stored bit planes. Each plane is cut into blocks of BLOCK_BITS bits; ranks holds for each plane the
+    number of ones before each block and in all. A query reads the blocks it needs and no others; blocks that were
+    read are kept."""
+
+    def __init__(self, read: Callable[[int, int], bytes], zeros: list[int], ranks: list[list[int]], n: int):
+        self.n, self.zeros, self.ranks, self.levels = n, zeros, [np.array(r, np.int64) for r in ranks], len(zeros)
+        self._read = read
+        self._kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def _block(self, level: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit words of a block, and the ones before each of them and in all."""
+        if (level, block) not in self._kept:
+            words = np.zeros(BLOCK_BITS // 64, np.uint64)
+            data = np.frombuffer(self._read(level, block), np.uint8)
+            words.view(np.uint8)[: len(data)] = data
+            self._kept[level, block] = words, np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+        return self._kept[level, block]
+
+    def _bits(self, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bits at these positions (False at the end) and the ones before them."""
+        bit, ones = np.zeros(len(at), bool), np.full(len(at), self.ranks[level][-1])
+        block = np.where(at < self.n, at // BLOCK_BITS, -1)
+        for b in np.unique(block[block >= 0]).tolist():
+            i = np.flatnonzero(block == b)
+            words, before = self._block(level, b)
+            place = at[i] - b * BLOCK_BITS
+            word, shift = words[place >> 6], (place & 63).astype(np.uint64)
+            bit[i] = word >> shift & np.uint64(1) != 0
+            ones[i] = self.ranks[level][b] + before[place >> 6] + np.bitwise_count(word & ((np.uint64(1) << shift) - np.uint64(1)))
+        return bit, ones
 
     def access(self, positions) -> np.ndarray:
         """The ids at these positions."""
-        at, out = np.asarray(positions, np.int64), np.zeros(np.shape(positions), np.int64)
-        for level in range(len(self.planes)):
-            words, _ = self._ranks()
-            bit = (words[level][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
-            ones = self._rank1(level, at)
+        at = np.atleast_1d(np.asarray(positions, np.int64))
+        out = np.zeros(len(at), np.int64)
+        for level in range(self.levels):
+            bit, ones = self._bits(level, at)
             at = np.where(bit, self.zeros[level] + ones, at - ones)
             out = out * 2 + bit
         return out
 
-    def _descend(self, symbol: int, lo: int, hi: int) -> tuple[int, int]:
-        for level in range(len(self.planes)):
-            a, b = (int(x) for x in self._rank1(level, [lo, hi]))
-            lo, hi = (self.zeros[level] + a, self.zeros[level] + b) if symbol >> (len(self.planes) - 1 - level) & 1 else (lo - a, hi - b)
-        return lo, hi
-
-    def _known(self, symbol: int) -> bool:
-        return 0 <= symbol < 1 << len(self.planes)
+    def _descend(self, symbol: int, at: np.ndarray) -> np.ndarray:
+        """Where the symbol's run would end in the last plane's order, had the sequence ended at these positions."""
+        for level in range(self.levels):
+            _, ones = self._bits(level, at)
+            at = self.zeros[level] + ones if symbol >> (self.levels - 1 - level) & 1 else at - ones
+        return at
 
-    def rank(self, symbol: int, end: int) -> int:
-        """How often symbol stands before position end."""
-        if not self._known(symbol):
-            return 0
-        lo, hi = self._descend(symbol, 0, min(end, self.n))
-        return hi - lo
+    def rank(self, symbol: int, ends) -> np.ndarray:
+        """How often symbol stands before each of these positions."""
+        ends = np.minimum(np.atleast_1d(np.asarray(ends, np.int64)), self.n)
+        if not 0 <= symbol < 1 << self.levels:
+            return np.zeros(len(ends), np.int64)
+        at = self._descend(symbol, np.append(ends, 0))
+        return at[:-1] - at[-1]
 
     def count(self, symbol: int, start: int = 0, end: int | None = None) -> int:
-        return self.rank(symbol, self.n if end is None else end) - self.rank(symbol, start)
-
-    def _select_bit(self, level: int, one: bool, k: int) -> int:
-        """Position of the k-th (from 0) bit of that kind in a plane, by bisection over its ranks."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = int(self._rank1(level, mid + 1))
-            if (ones if one else mid + 1 - ones) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
-
-    def select(self, symbol: int, k: int) -> int:
-        """Position of the k-th (from 0) occurrence; -1 if there are not so many."""
-        if not self._known(symbol) or not 0 <= k < self.count(symbol):
-            return -1
-        at = self._descend(symbol, 0, self.n)[0] + k
-        for level in range(len(self.planes) - 1, -1, -1):
-            one = bool(symbol >> (len(self.planes) - 1 - level) & 1)
-            at = self._select_bit(level, one, at - self.zeros[level] if one else at)
-        return at
+        a, b = self.rank(symbol, [start, self.n if end is None else end]).tolist()
+        return b - a
+
+    def _select_bit(self, level: int, one: bool, k: np.ndarray) -> np.ndarray:
+        """Positions of the k-th (from 0) bits of that kind in a plane."""
+        upto = self.ranks[level] if one else np.minimum(np.arange(len(self.ranks[level])) * BLOCK_BITS, self.n) - self.ranks[level]
+        block = np.searchsorted(upto, k, "right") - 1
+        out = np.empty(len(k), np.int64)
+        for b in np.unique(block).tolist():
+            i = np.flatnonzero(block == b)
+            words, before = self._block(level, b)
+            if not one:
+                words, before = ~words, np.arange(len(before)) * 64 - before
+            left = k[i] - upto[b]
+            word = np.searchsorted(before, left, "right") - 1
+            bits = words[word, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)
+            inside = (np.cumsum(bits, axis=1, dtype=np.int64) > (left - before[word])[:, None]).argmax(axis=1)
+            out[i] = b * BLOCK_BITS + word * 64 + inside
+        return out
 
-    def find(self, symbol: int) -> list[int]:
+    def select(self, symbol: int, ks) -> np.ndarray:
+        """Positions of the k-th (from 0) occurrences of a symbol; -1 if there are not so many."""
+        ks = np.atleast_1d(np.asarray(ks, np.int64))
+        out, known = np.full(len(ks), -1, np.int64), (ks >= 0) & (ks < self.count(symbol))
+        if known.any():
+            at = self._descend(symbol, np.zeros(1, np.int64)) + ks[known]
+            for level in range(self.levels - 1, -1, -1):
+                one = bool(symbol >> (self.levels - 1 - level) & 1)
+                at = self._select_bit(level, one, at - self.zeros[level] if one else at)
+            out[known] = at
+        return out
+
+    def find(self, symbol: int) -> np.ndarray:
         """All positions of a symbol in rising order."""
-        return [self.select(symbol, k) for k in range(self.count(symbol))]
+        return self.select(symbol, np.arange(self.count(symbol)))
 
     def decode(self) -> np.ndarray:
         """The whole sequence, from the lowest plane up."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        kind = np.uint16 if self.levels <= 16 else np.uint32
         rest = np.zeros(self.n, kind)
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+        for level in range(self.levels - 1, -1, -1):
+            plane = np.concatenate([self._block(level, b)[0] for b in range(len(self.ranks[level]) - 1)] or [np.zeros(0, np.uint64)])
+            bit = np.unpackbits(plane.view(np.uint8), count=self.n, bitorder="little").view(bool)
             out = np.empty(self.n, kind)
             out[~bit] = rest[: self.zeros[level]]
-            out[bit] = rest[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
+            out[bit] = rest[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
             rest = out
         return rest
 
 
 def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """The file format: magic, length of the header, JSON header, then zstandard frames: documents' ids,
-    their numbers of tokens, and each bit plane."""
+    """The file format: magic, length of the header, JSON header, then zstandard frames: documents' ids, their
+    numbers of tokens, and the blocks of each bit plane. The header has each frame's size and each block's rank."""
     levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     planes, zeros = build_planes(ids, levels)
-    z = zstandard.ZstdCompressor(level=1)
-    raw = [np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), *(p.tobytes() for p in planes)]
-    frames = [z.compress(x) for x in raw]
-    head = json.dumps({"n": len(ids), "docs": len(doc_ids), "zeros": zeros, "frames": [len(f) for f in frames], "null_docs": [i for i, d in enumerate(doc_ids) if d is None]}).encode()
+    pack = zstandard.ZstdCompressor(level=1).compress
+    frames = [pack(np.array([d or 0 for d in doc_ids], "<i8").tobytes()), pack(np.array(lengths, "<i8").tobytes())]
+    meta, blocks, ranks = [len(f) for f in frames], [], []
+    for p in planes:
+        parts = [p[i : i + BLOCK_BITS // 8] for i in range(0, len(p), BLOCK_BITS // 8)]
+        packed = [pack(x.tobytes()) for x in parts]
+        blocks.append([len(x) for x in packed])
+        ranks.append(np.cumsum([0, *(int(np.bitwise_count(x).sum()) for x in parts)]).tolist())
+        frames += packed
+    head = json.dumps({"n": len(ids), "docs": len(doc_ids), "zeros": zeros, "meta": meta, "blocks": blocks, "ranks": ranks, "null_docs": [i for i, d in enumerate(doc_ids) if d is None]}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(frames)
 
 
-def unpack_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """(doc_ids, numbers of tokens, matrix) of a shard file."""
-    if data[:8] != MAGIC:
+def open_shard(read_at: Callable[[int, int], bytes]) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+    """(doc_ids, numbers of tokens, matrix) of a shard file, of which read_at(offset, size) gives bytes. Planes are
+    read when they are asked for."""
+    start = read_at(0, 12)
+    if start[:8] != MAGIC:
         raise ValueError("not a token shard")
-    size = struct.unpack("<I", data[8:12])[0]
-    head = json.loads(data[12 : 12 + size])
-    z, at, raw = zstandard.ZstdDecompressor(), 12 + size, []
-    for f in head["frames"]:
-        raw.append(z.decompress(data[at : at + f]))
-        at += f
-    docs: list[int | None] = np.frombuffer(raw[0], "<i8").tolist()
+    size = struct.unpack("<I", start[8:12])[0]
+    head = json.loads(read_at(12, size))
+    sizes = [*head["meta"], *(x for level in head["blocks"] for x in level)]
+    offsets = (12 + size + np.cumsum([0, *sizes])).tolist()
+    first = np.cumsum([len(head["meta"]), *(len(level) for level in head["blocks"])]).tolist()
+    unpack = zstandard.ZstdDecompressor().decompress
+    frame = lambda i: unpack(read_at(offsets[i], sizes[i]))
+    docs: list[int | None] = np.frombuffer(frame(0), "<i8").tolist()
     for i in head["null_docs"]:
         docs[i] = None
-    return docs, np.frombuffer(raw[1], "<i8"), WaveletMatrix([np.frombuffer(x, np.uint8) for x in raw[2:]], head["zeros"], head["n"])
+    return docs, np.frombuffer(frame(1), "<i8"), WaveletMatrix(lambda level, block: frame(first[level] + block), head["zeros"], head["ranks"], head["n"])
+
+
+def unpack_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+    return open_shard(lambda at, size: data[at : at + size])
 
 
 def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
+class _Memory(dict):
+    """Pre-token -> its ids as little-endian unsigned 32-bit integers, remembered for up to `limit` pre-tokens."""
+
+    def __init__(self, model, limit: int):
+        super().__init__()
+        self.model, self.limit = model, limit
+        # fixed values: the printable characters that byte-level vocabularies write for themselves; other bytes are
+        # written as the characters from 256 on, in order
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.written = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        pieces = self.model.tokenize(word.encode().decode("latin-1").translate(self.written))
+        self[word] = ids = struct.pack(f"<{len(pieces)}I", *[t.id for t in pieces])
+        return ids
+
+
 class Encoder:
     """Whole texts to ids with a byte-level BPE tokenizer, through a memory of pre-tokens.
 
-    Pre-tokens are encoded each on their own, so a text's ids are those of its pre-tokens end to end. Texts of
-    the Latin letters, digits and signs below are cut by a plain pattern, where its classes say the same as the
-    tokenizer's Unicode ones; texts with other characters or a special token's string, and all texts of a
-    tokenizer that isn't of this kind, go to the tokenizer whole."""
+    Pre-tokens are encoded each on their own, so a text's ids are those of its pre-tokens end to end, and the
+    tokenizer's model gives those of one pre-token. Texts of the Latin letters, digits and signs below are cut by a
+    plain pattern, where its classes say the same as the tokenizer's Unicode ones; texts with other characters or a
+    special token's string, and all texts of a tokenizer that isn't of this kind, go to the tokenizer whole."""
 
     LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
     DIGITS = "0-9²³¹¼½¾"
@@ -188,55 +237,21 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
-        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line_feed, self.word = feed[0], re.compile(f" ?[^{self.SPACES}]+").fullmatch
-        self.cuts = len(feed) == 1 and spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.cuts = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         self.find = re.compile(self.CUT).findall
         self.known = re.compile(f"[{self.SPACES}{self.LETTERS}{self.DIGITS}{self.SIGNS}]*").fullmatch
-        self.memory: dict[str, bytes] = {}
-        self.limit = limit
-
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        """Remember the ids of pre-tokens. Those without white space but one leading space are encoded some
-        thousand at a time, a line each: a line feed between them is a pre-token of its own, and its byte is in
-        no other's ids."""
-        lines = [w for w in new if self.word(w)]
-        for at in range(0, len(lines), 4096):
-            words = lines[at : at + 4096]
-            data = self._bytes("\n".join(words))
-            ends = np.flatnonzero(np.frombuffer(data, "<u4") == self.line_feed)
-            if len(ends) != len(words) - 1:
-                raise ValueError("the tokenizer joins pre-tokens over a line feed")
-            start = 0
-            for word, end in zip(words, (ends * 4).tolist() + [len(data)], strict=True):
-                self.memory[word] = data[start:end]
-                start = end + 4
-        for w in new - set(lines):
-            self.memory[w] = self._bytes(w)
+        self.memory = _Memory(self.tokenizer.model, limit)
 
     def _plain(self, text: str) -> bool:
         return self.cuts and self.known(text) is not None and not any(s in text for s in self.special)
 
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        """ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        cut = [self.find(t) if t and self._plain(t) else None for t in texts]
-        distinct = set().union(*filter(None, cut))
-        new = distinct - self.memory.keys()
-        if len(self.memory) + len(new) > self.limit:
-            self.memory.clear()
-            new = distinct
-        self._learn(new)
-        get = self.memory.__getitem__
-        for text, words in zip(texts, cut, strict=True):
-            if not text:
-                yield b""
-            elif words is None:
-                yield self._bytes(text)
-            else:
-                yield b"".join(map(get, words))
+    def __call__(self, text: str | None) -> bytes:
+        """ids of a text as little-endian unsigned 32-bit integers; null counts as empty."""
+        if not text:
+            return b""
+        if self._plain(text):
+            return b"".join(map(self.memory.__getitem__, self.find(text)))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -248,7 +263,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, shard_tokens: int = 1 << 21) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, shard_tokens: int = 1 << 23) -> DataFrame:
     """Write the ids of docs (doc_id, text, ...) in ascending doc_id order to shard files under path.
 
     Each text's ids are followed by end_id. A shard closes at the first document that brings it to
@@ -274,59 +289,55 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
             return row
 
         for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
-            doc_ids = batch.column(0).to_pylist()
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and size < 1 << 20:
-                    size += len(texts[to] or "")
-                    to += 1
-                for doc, data in zip(doc_ids[at:to], enc(texts[at:to]), strict=True):
-                    ids.append(doc)
-                    lengths.append(len(data) // 4 + 1)
-                    parts += (data, end)
-                    held += lengths[-1]
-                    if held >= shard_tokens:
-                        yield flush()
-                at = to
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = enc(text.as_py())
+                ids.append(doc)
+                lengths.append(len(data) // 4 + 1)
+                parts += (data, end)
+                held += lengths[-1]
+                if held >= shard_tokens:
+                    yield flush()
         if ids:
             yield flush()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = plain.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = written(ordered.mapInArrow(run, "file string, task int, no int, n_docs long, n_tokens long"), "token-manifest")
-    before = F.sum("n_tokens").over(Window.orderBy("task", "no")) - F.col("n_tokens")
-    return manifest.withColumn("base", before)
+    tasks = manifest.groupBy("task").agg(F.sum("n_tokens").alias("n"))
+    # a row a task, of which there are far fewer than files
+    tasks = tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("task").orderBy("no")) - F.col("n_tokens")
+    return manifest.withColumn("inside", inside).join(tasks, "task").withColumn("base", F.col("before") + F.col("inside")).drop("before", "inside")
 
 
-def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the shard files that the manifest names; ids as
-    little-endian unsigned 32-bit integers."""
+def read_tokens(manifest: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, start, n_tokens, ids, n_end, first_end) of every document in the shard files that the manifest names;
+    ids as little-endian unsigned 32-bit integers. n_end, by rank: how often the end's id stands in it, which is once
+    unless the text spells it; first_end, by select: the place of the first in the document."""
+    names = ["doc_id", "start", "n_tokens", "ids", "n_end", "first_end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _filesystem(path)
         for batch in batches:
             for row in batch.to_pylist():
-                with fs.open_input_stream(f"{top}/{row['file']}") as f:
-                    docs, lengths, matrix = unpack_shard(f.read())
-                ids, ends = matrix.decode().astype("<u4"), np.cumsum(lengths)
+                with fs.open_input_file(f"{top}/{row['file']}") as f:
+                    docs, lengths, matrix = open_shard(lambda at, size, f=f: f.read_at(size, at))
+                    ids, ends = matrix.decode().astype("<u4"), np.cumsum(lengths)
+                    starts = ends - lengths
+                    before = matrix.rank(end_id, np.append(starts, matrix.n))
+                    first = matrix.select(end_id, before[:-1]) - starts
+                n_end = np.diff(before)
                 for a in range(0, len(docs), 512):
-                    at = range(a, min(a + 512, len(docs)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([docs[i] for i in at], pa.int64()), pa.array([row["base"] + int(ends[i] - lengths[i]) for i in at], pa.int64()), pa.array([int(lengths[i]) for i in at], pa.int64()), pa.array([ids[ends[i] - lengths[i] : ends[i]].tobytes() for i in at], pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids"],
-                    )
+                    s = slice(a, a + 512)
+                    data = [ids[i:j].tobytes() for i, j in zip(starts[s].tolist(), ends[s].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[s], pa.int64()), *map(pa.array, (row["base"] + starts[s], lengths[s])), pa.array(data, pa.binary()), *map(pa.array, (n_end[s], first[s]))], names)
 
     files = written(manifest.select("file", "base"), "token-files")
     # a task a file: without the number, so few bytes would be put together in one task
-    return files.repartition(max(1, min(files.count(), 100_000))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.repartition(max(1, min(files.count(), 100_000))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, n_end long, first_end long")
 
 
 def token_table(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
     """Write docs' tokens to path (the shared folder by default) and read them back: see both functions."""
     path = path or new_path(docs.sparkSession, "tokens")
     return read_tokens(write_tokens(docs, tokenizer, path), path)
-
-
-def ids_crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)

@@ -188,16 +188,29 @@ def test_weak_secrets_need_a_complement(spark):
     assert kinds == {1: {"access", "key"}, 2: set(), 3: {"access"}, 4: set(), 5: {"login", "assign", "endpoint"}, 6: {"login", "key"}}
 
 
-def test_wavelet_matrix():
+def test_wavelet_matrix(monkeypatch):
     rng = np.random.default_rng(3)
-    for n, high in ((1, 2), (64, 3), (1000, 50_257), (777, 1)):
-        ids = rng.integers(0, high, n)
-        docs, lengths, m = token_store.unpack_shard(token_store.pack_shard([None, 7], [n - 1, 1], ids))
-        assert docs == [None, 7] and lengths.tolist() == [n - 1, 1]
-        assert (m.decode() == ids).all() and (m.access(np.arange(n)) == ids).all()
-        for s in [*ids[:5].tolist(), 60_000, -1]:
-            assert m.find(s) == np.flatnonzero(ids == s).tolist()
-            assert m.count(s, n // 3, n) == int((ids[n // 3 :] == s).sum()) and m.select(s, n) == -1
+    for bits in (128, 1 << 19):
+        monkeypatch.setattr(token_store, "BLOCK_BITS", bits)
+        for n, high in ((1, 2), (64, 3), (128, 5), (1000, 50_257), (777, 1)):
+            ids = rng.integers(0, high, n)
+            docs, lengths, m = token_store.unpack_shard(token_store.pack_shard([None, 7], [n - 1, 1], ids))
+            assert docs == [None, 7] and lengths.tolist() == [n - 1, 1]
+            assert (m.access(np.arange(n)) == ids).all() and (m.decode() == ids).all()
+            for s in [*ids[:5].tolist(), 60_000, -1]:
+                where = np.flatnonzero(ids == s)
+                assert m.find(s).tolist() == where.tolist()
+                assert m.count(s, n // 3, n) == int((ids[n // 3 :] == s).sum()) and m.select(s, [n, -1]).tolist() == [-1, -1]
+                assert m.rank(s, np.arange(n + 1)).tolist() == np.searchsorted(where, np.arange(n + 1)).tolist()
+
+
+def test_a_query_reads_only_the_blocks_on_its_way():
+    ids = np.random.default_rng(4).integers(0, 1000, 3_000_000)
+    data = token_store.pack_shard([1], [len(ids)], ids)
+    read = []
+    _, _, m = token_store.open_shard(lambda at, size: read.append(size) or data[at : at + size])
+    assert m.access([2_999_999]) == ids[-1] and m.rank(7, 10) == (ids[:10] == 7).sum()
+    assert sum(read) < len(data) / 2
 
 
 def test_tokens_round_trip(spark):
@@ -213,17 +226,30 @@ def test_tokens_round_trip(spark):
     for r, (i, text) in zip(sorted(rows, key=lambda r: r.start), sorted(docs, key=texts.key), strict=True):
         want = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         assert (r.doc_id, r.start, r.n_tokens) == (i, at, len(want))
-        assert np.frombuffer(r.ids, "<u4").tolist() == want
+        assert np.frombuffer(r.ids, "<u4").tolist() == want and (r.n_end, r.first_end) == (want.count(2), want.index(2))
         at += len(want)
 
 
+def test_tokens_query(spark):
+    from tokenizers import Tokenizer
+
+    t, sf, at = Tokenizer.from_file(BPE), "/root/testdata/sf0.001", 0
+    docs = sorted(queries.table(spark, sf, "documents").select("doc_id", "text").collect())
+    found = sorted(queries.op6_tokens(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
+    assert len(found) == len(docs)
+    for r, d in zip(found, docs, strict=True):
+        ids = [*t.encode(d.text or "", add_special_tokens=False).ids, 2]
+        assert tuple(r) == (d.doc_id, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        at += len(ids)
+
+
 def test_encoder_on_odd_spaces():
     enc = token_store.encoder(BPE)
     rng = random.Random(5)
     marks = [" ", "  ", "\n", " \n", "\t", " ", "a", "B.", "1", "'s", "é", "—", " ", "\r\n", "<|endoftext|>"]
     cases = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
     want = enc.tokenizer.encode_batch(cases, add_special_tokens=False)
-    assert all(np.frombuffer(a, "<u4").tolist() == b.ids for a, b in zip(enc(cases), want, strict=True))
+    assert all(np.frombuffer(a, "<u4").tolist() == b.ids for a, b in zip(map(enc, cases), want, strict=True))
 
 
 def lm_tokens(text):
@@ -499,10 +525,6 @@ def test_top_k_as_brute_force(spark):
         assert got(topk.top_k(df.where("vec_id % 50 = 0"), df, block_rows=block), "query_id", "rank", "vec_id", "score") == sorted(want)
 
 
-def test_crc_of_ids():
-    assert token_store.ids_crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\1\0\0\0\2\0\0\0")
-
-
 def test_encoder_as_the_tokenizer_on_each_character_and_on_mixed_texts():
     enc = token_store.Encoder(BPE)
     rng = random.Random(5)
@@ -510,5 +532,5 @@ def test_encoder_as_the_tokenizer_on_each_character_and_on_mixed_texts():
     mixed = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(3000)]
     around = [x for c in map(chr, range(0x2200)) for x in (f"a{c}b", f" {c}", f"{c} x", f"1{c}2", f".{c}.", f"  {c}")]
     for batch in (mixed, around):
-        for text, data in zip(batch, enc(batch), strict=True):
+        for text, data in zip(batch, map(enc, batch), strict=True):
             assert list(struct.unpack(f"<{len(data) // 4}I", data)) == enc.tokenizer.encode(text, add_special_tokens=False).ids
