@@ -35,6 +35,32 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"\.[^./]*$", 0)
 
 
+def basename(path: Column) -> Column:
+    return F.regexp_extract(path, r"[^/]*$", 0)
+
+
+def glob_regex(pattern: str) -> str:
+    """A shell pattern as an anchored expression: * and ? stay within a folder, [a-z] and [^a-z] are classes, a backslash
+    takes the next character as it is."""
+    out, i = [], 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "*":
+            out.append("[^/]*")
+        elif c == "?":
+            out.append("[^/]")
+        elif c == "[" and (end := pattern.find("]", i + 2)) > 0:
+            body = pattern[i + 1 : end]
+            out.append("[" + ("^/" + body[1:] if body.startswith("^") else body).replace("[", r"\[").replace("&", r"\&") + "]")
+            i = end
+        else:
+            if c == "\\" and i + 1 < len(pattern):
+                i += 1
+            out.append(r"\Q" + pattern[i] + r"\E")
+        i += 1
+    return "^" + "".join(out) + r"\z"
+
+
 def detect_language(path: Column) -> Column:
     """Language by the extension in lower case; empty if unknown."""
     known = F.create_map(*[F.lit(x) for kv in EXTENSION_LANGUAGE.items() for x in kv])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import basename
+
 
 def percentile(values: Column, p: float) -> Column:
     """Lower nearest rank: the element at (n - 1) * p, cut to a whole number, of the sorted values. Gathers all
@@ -56,28 +58,62 @@ def windowed(events: DataFrame, seconds: int = 3600) -> DataFrame:
     return events.join(F.broadcast(last), F.col("ts") > F.col("last") - F.expr(f"interval {int(seconds)} seconds")).drop("last")
 
 
-def match_case(tolerance: int = 5):
-    """Greedy matching of expected findings, in order, with the first actual that fits and is free: columns
-    expected and actual (arrays of structs) give tp, and the indices of the actuals used."""
-    def step(used: Column, e: Column) -> Column:
-        fits = lambda a: (e.level == a.level) & ((e.rule_id == "any") | (e.rule_id == a.rule_id)) & a.line.between(e.lo - tolerance, e.hi + tolerance) & ~F.array_contains(used, a.no)
+def match_case(tolerance: int = 5) -> Column:
+    """Greedy matching of expected findings, in order, with the first actual one that fits and is free: of the columns
+    expected and actual (arrays of structs) a struct of the actuals' numbers that are used, and of how many expected
+    ones that must be found were missed. An empty level, the rule any, and the lines 0 to 0 fit everything; so does an
+    actual without a line, as to lines."""
+
+    def step(s: Column, e: Column) -> Column:
+        fits = lambda a: ((e.level == "") | (e.level == a.level)) & ((e.rule_id == "any") | (e.rule_id == a.rule_id)) & (((e.lo == 0) & (e.hi == 0)) | a.line.isNull() | a.line.between(e.lo - tolerance, e.hi + tolerance)) & ~F.array_contains(s.used, a.no)
         first = F.try_element_at(F.filter("actual", fits), F.lit(1))
-        return F.when(first.isNotNull(), F.array_append(used, first.no)).otherwise(used)
+        used = F.when(first.isNotNull(), F.array_append(s.used, first.no)).otherwise(s.used)
+        return F.struct(used.alias("used"), (s.missed + F.when(first.isNull() & e.must_find, 1).otherwise(0)).alias("missed"))
 
-    return F.aggregate("expected", F.array().cast("array<int>"), step)
+    return F.aggregate("expected", F.struct(F.array().cast("array<int>").alias("used"), F.lit(0).alias("missed")), step)
 
 
 def score_cases(cases: DataFrame, tolerance: int = 5) -> DataFrame:
-    """cases: case_id, expected, actual. tp, fp, fn, precision, recall and f1 of each."""
-    c = cases.withColumn("tp", F.size(match_case(tolerance))).select("case_id", "tp", (F.size("actual") - F.col("tp")).alias("fp"), (F.size("expected") - F.col("tp")).alias("fn"))
+    """cases: case_id, source (path of the file), expected (level, rule_id, lo, hi, must_find) and actual (no, level,
+    rule_id, line, uri, confidence). Of each: tp, fp, fn (missed ones that must be found), hallucinations (unmatched
+    ones in another file), precision, recall, f1, and mean confidence of matched and of unmatched ones (0 for none)."""
+    c = cases.withColumn("m", match_case(tolerance))
+    used = F.col("m.used")
+    right, wrong = F.filter("actual", lambda a: F.array_contains(used, a.no)), F.filter("actual", lambda a: ~F.array_contains(used, a.no))
+    name = basename(F.coalesce("source", F.lit("")))
+    lost = F.filter(wrong, lambda a: (F.coalesce(a.uri, F.lit("")) != "") & (name != "") & ~a.uri.endswith(name))
+
+    def sure(rows: Column) -> Column:
+        given = F.filter(F.transform(rows, lambda a: a.confidence), lambda x: x.isNotNull())
+        return safe(F.aggregate(given, F.lit(0.0), lambda s, x: s + x), F.size(given))
+
+    tp = F.size(used)
+    c = c.select("case_id", tp.alias("tp"), (F.size("actual") - tp).alias("fp"), F.col("m.missed").alias("fn"), F.size(lost).alias("hallucinations"), sure(right).alias("tp_conf"), sure(wrong).alias("fp_conf"))
     p, r = safe(F.col("tp"), F.col("tp") + F.col("fp")), safe(F.col("tp"), F.col("tp") + F.col("fn"))
     return c.withColumns({"precision": p, "recall": r}).withColumn("f1", safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def score_total(scores: DataFrame) -> DataFrame:
-    """Micro figures from totals, macro ones as means of cases."""
+def score_total(scores: DataFrame, *keys: str) -> DataFrame:
+    """Micro figures from totals, macro ones as means of cases, hallucinations by findings, and the mean confidence of
+    cases' right findings less that of their wrong ones (cases with 0 don't count)."""
     tp, fp, fn = (F.sum(c) for c in ("tp", "fp", "fn"))
-    return scores.agg(safe(tp, tp + fp).alias("micro_precision"), safe(tp, tp + fn).alias("micro_recall"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"))
+    p, r = safe(tp, tp + fp), safe(tp, tp + fn)
+    sure = lambda c: F.coalesce(F.avg(F.when(F.col(c) > 0, F.col(c))), F.lit(0.0))
+    return scores.groupBy(*keys).agg(p.alias("micro_precision"), r.alias("micro_recall"), safe(2 * p * r, p + r).alias("micro_f1"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"), safe(F.sum("hallucinations"), tp + fp).alias("hallucination_rate"), (sure("tp_conf") - sure("fp_conf")).alias("calibration"))
+
+
+def score_runs(scores: DataFrame, key: str) -> DataFrame:
+    """Over repeated runs of a case: means of counts, rounded half away from zero, and mean and sample deviation (0 for
+    one run) of precision, recall and f1."""
+    rates = [f for c in ("precision", "recall", "f1") for f in (F.avg(c).alias(f"{c}_mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std"))]
+    return scores.groupBy(key).agg(F.count("*").alias("runs"), *[F.round(F.avg(c)).cast("long").alias(c) for c in ("tp", "fp", "fn", "hallucinations")], *rates)
+
+
+def run_measures(findings: DataFrame, key: str = "run_id") -> DataFrame:
+    """A row a run: findings by tier (none is comprehensive) and level, sure errors, mean confidence (none is 0)."""
+    tier, n = F.coalesce("tier", F.lit("comprehensive")), F.count("*")
+    levels = [F.count_if(F.col("level") == x).alias(f"{x}s") for x in ("error", "warning", "note")]
+    return findings.groupBy(key).agg(n.alias("total"), F.count_if(tier == "comprehensive").alias("llm"), F.count_if(tier == "instant").alias("instant"), *levels, F.count_if((F.col("level") == "error") & (F.col("confidence") > 0.8)).alias("sure_errors"), safe(F.sum(F.coalesce("confidence", F.lit(0.0))), n).alias("avg_conf"))
 
 
 def summarize(runs: DataFrame, key: str, measures: list[str]) -> DataFrame:

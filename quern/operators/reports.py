@@ -14,8 +14,8 @@ def priority(level: Column) -> Column:
 
 
 def overlay(layers: DataFrame, key: str, layer: str) -> DataFrame:
-    """Of the rows with the same key the one of the highest layer, whole."""
-    last = Window.partitionBy(key).orderBy(F.desc(layer))
+    """Of the rows with the same key the one of the highest layer, whole; of equal layers the one whose JSON is last."""
+    last = Window.partitionBy(key).orderBy(F.desc(layer), F.to_json(F.struct(*layers.columns)).desc())
     return layers.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn")
 
 
@@ -107,6 +107,12 @@ def two_level(runs: DataFrame, condition: str, run: str, measures: list[str]) ->
     return sums.groupBy(condition).agg(F.count("*").alias("runs"), *[f for m in measures for f in (F.avg(m).alias(f"{m}_mean"), F.coalesce(F.stddev_samp(m), F.lit(0.0)).alias(f"{m}_std"))])
 
 
+def summary_text(summary: DataFrame, key: str, measures: dict[str, str]) -> DataFrame:
+    """A line a measure (label -> name) of a summary with mean and deviation: (key, place, text)."""
+    line = lambda i, label, m: F.struct(F.lit(i).alias("place"), F.format_string(f"  %-22s %8.1f ±%-5.1f", F.lit(label), f"{m}_mean", f"{m}_std").alias("text"))
+    return summary.select(key, F.inline(F.array(*[line(i, label, m) for i, (label, m) in enumerate(measures.items())])))
+
+
 def timing(events: DataFrame) -> DataFrame:
     """Milliseconds in the queue, under analysis and in all, of events (queued, started, completed); 0 where a time is unset."""
     ms = lambda a, b: F.coalesce(F.unix_millis(F.col(b).cast("timestamp")) - F.unix_millis(F.col(a).cast("timestamp")), F.lit(0))

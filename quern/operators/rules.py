@@ -21,6 +21,10 @@ class Rule:
     languages: list[str] = field(default_factory=list)
     cwe: list[str] = field(default_factory=list)
     owasp: list[str] = field(default_factory=list)
+    references: list[str] = field(default_factory=list)
+    remediation: str = ""
+    ast_check: str = ""
+    ast_config: dict[str, int] = field(default_factory=dict)
 
 
 #: The built-in regex rules, in file order.
@@ -75,10 +79,12 @@ def regex_scan(artifacts: DataFrame, rules: list[Rule], tier: str = "instant") -
             F.struct(F.lit(i).alias("rule_ord"), F.lit(r.id).alias("rule_id"), F.lit(r.level).alias("level"), F.lit(r.message).alias("message"), F.lit(r.confidence).alias("confidence"), F.arrays_zip(F.split(content, to_java(r.pattern), -1).alias("gap"), F.regexp_extract_all(content, F.lit(to_java(r.pattern)), F.lit(0)).alias("match")).alias("parts")),
         )
         for i, r in enumerate(rules)
+        if r.pattern
     ]
-    rows = artifacts.select("path", F.explode(F.array_compact(F.array(*each))).alias("r"))
-    rows = rows.select("path", "r.rule_ord", "r.rule_id", "r.level", "r.message", "r.confidence", F.posexplode("r.parts").alias("match_ord", "p")).where("p.match is not null")
+    # artifacts that share a path are told apart by a number
+    rows = artifacts.select(F.monotonically_increasing_id().alias("no"), "path", F.explode(F.array_compact(F.array(*each))).alias("r"))
+    rows = rows.select("no", "path", "r.rule_ord", "r.rule_id", "r.level", "r.message", "r.confidence", F.posexplode("r.parts").alias("match_ord", "p")).where("p.match is not null")
     breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    before = Window.partitionBy("path", "rule_ord").orderBy("match_ord")
+    before = Window.partitionBy("no", "rule_ord").orderBy("match_ord")
     line = 1 + F.sum(breaks("p.gap") + breaks("p.match")).over(before) - breaks("p.match")
     return rows.select(F.col("path").alias("uri"), "rule_ord", "match_ord", "rule_id", "level", "message", "confidence", line.cast("int").alias("start_line"), F.col("p.match").alias("match"), F.lit(tier).alias("tier"))

@@ -26,7 +26,7 @@ select user_id, event_id, case event_id % 20
   when 0 then 'password = "secret123"' when 1 then 'q := "SELECT a FROM t WHERE id=" + id + "x"' when 2 then 'exec.Command("sh " + arg)' when 3 then 'os.Open(dir + name)'
   when 4 then 'h := md5.Sum(data)' when 5 then 'InsecureSkipVerify: true,' when 6 then '  v, _ := load()' when 7 then 'if err != nil { }'
   when 8 then concat('  return (x)', chr(10), '  y := 1') when 9 then 'for i := range xs { defer f.Close() }' when 10 then '// TODO: fix this' when 11 then '// if old then go'
-  when 12 then '  fmt.Println("x")' when 13 then 'return fmt.Errorf("bad %s", err)' when 14 then '  if n > 4321 {' when 15 then ''
+  when 12 then '  fmt.Print("x")' when 13 then 'return fmt.Errorf("bad %s", err)' when 14 then '  if n > 4321 {' when 15 then ''
   when 16 then 'token := "abc"; secret: ''longer value''' when 17 then 'FIXME : xxx  BUG:' else concat('plain line ', cast(event_id as string)) end as line
 from {events}""",
     "suppressions": """

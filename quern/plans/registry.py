@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import findings as A
 from ..operators import measures as M
 from ..operators import rules as R
+from ..operators import views as V
 from .bindings import for_duckdb, view
 
 QUERIES: dict[str, Callable] = {}
@@ -181,7 +182,7 @@ def suppression_upsert(t):
 
 @query("select s_ord, rule_id, case when file = '' then '(all)' else file end as file from {suppressions} where reason like 'why 1%'")
 def suppression_list(t):
-    return t("suppressions").where(F.col("reason").startswith("why 1")).select("s_ord", "rule_id", F.when(F.col("file") == "", "(all)").otherwise(F.col("file")).alias("file"))
+    return V.listed(t("suppressions"), "why 1").select("s_ord", "rule_id", "file")
 
 
 def _gated(t) -> DataFrame:
@@ -211,24 +212,22 @@ def _severity(t):
 
 @query("select level, case level when 'error' then 0 when 'warning' then 1 when 'note' then 2 else 3 end as priority, count(*) as n, count(distinct uri) as files from {findings} group by level")
 def severity_counts(t):
-    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in (("error", 0), ("warning", 1), ("note", 2)) for x in kv]), F.col("level")), F.lit(3))
-    return t("findings").groupBy("level", rank.alias("priority")).agg(F.count("*").alias("n"), F.countDistinct("uri").alias("files"))
+    return V.severity_table(t("findings"))
 
 
 @query("select ord, case level when 'error' then 8.0::double when 'warning' then 5.0::double else 2.0::double end as severity, case when tier = 'comprehensive' then 'high' else 'medium' end as precision from {findings}")
 def github_enrich(t):
-    return t("findings").select("ord", F.when(F.col("level") == "error", 8.0).when(F.col("level") == "warning", 5.0).otherwise(2.0).alias("severity"), F.when(F.col("tier") == "comprehensive", "high").otherwise("medium").alias("precision"))
+    return V.scores(t("findings")).select("ord", "severity", "precision")
 
 
 @query("select ord, start_line + 20 as start_line from {findings} where start_line between 10 and 30")
 def line_range_filter(t):
-    return t("findings").where(F.col("start_line").between(10, 30)).select("ord", (F.col("start_line") + 20).alias("start_line"))
+    return V.within_lines(t("findings"), 10, 30, 20).select("ord", "start_line")
 
 
 @query("select ord, greatest(start_line - 1, 0) as line, greatest(end_line - 1, 0) as end_line, case level when 'error' then 1 when 'warning' then 2 else 3 end as severity, concat('quern/', coalesce(tier, 'instant')) as source from {findings} where uri is not null")
 def diagnostics(t):
-    zero = lambda c: F.greatest(F.col(c) - 1, F.lit(0))
-    return t("findings").where("uri is not null").select("ord", zero("start_line").alias("line"), zero("end_line").alias("end_line"), F.when(F.col("level") == "error", 1).when(F.col("level") == "warning", 2).otherwise(3).alias("severity"), F.concat(F.lit("quern/"), F.coalesce("tier", F.lit("instant"))).alias("source"))
+    return V.diagnostics(t("findings")).select("ord", "line", F.col("last_line").alias("end_line"), "severity", "source")
 
 
 FUNCTIONS = "(select p_partkey as fn_ord, concat('src/f', cast(p_partkey % 300 as string), '.go') as uri, concat('fn', cast(p_partkey as string)) as name, cast(p_partkey % 40 as int) as start_line, cast(p_partkey % 40 + p_size as int) as end_line from {part})"
@@ -274,12 +273,12 @@ def metrics_hourly(t):
 
 @query("select ord, ts, tier from {analysis_events} order by ts desc, ord desc limit 50")
 def recent_events(t):
-    return t("analysis_events").orderBy(F.desc("ts"), F.desc("ord")).limit(50).select("ord", "ts", "tier")
+    return V.recent(t("analysis_events")).select("ord", "ts", "tier")
 
 
 @query("select tier, cache_result, count(*) as n, round(avg(finding_count), 6) as findings from {analysis_events} group by tier, cache_result")
 def cache_stats(t):
-    return t("analysis_events").groupBy("tier", "cache_result").agg(F.count("*").alias("n"), r6(F.avg("finding_count"), "findings"))
+    return V.cache_table(t("analysis_events")).withColumn("findings", F.round("findings", 6))
 
 
 @query("select ord, uri, hash from (select *, lag(hash) over (partition by uri order by ts, ord) as was from {analysis_events}) where was is null or was <> hash")
@@ -304,9 +303,9 @@ def variant_delta(t):
     return d.select("variant", r6(F.col("total_pct"), "total_pct"), r6(F.col("errors_pct"), "errors_pct"))
 
 
-@query("select level, count(*) as n, count(*) filter (coalesce(tier, 'comprehensive') = 'comprehensive') as llm, count(*) filter (tier = 'instant') as instant, count(*) filter (level = 'error' and confidence > 0.8) as sure_errors, round(sum(coalesce(confidence, 0)) / count(*), 6) as avg_conf, run_id from {findings} group by run_id, level")
+@query("select run_id, count(*) as total, count(*) filter (coalesce(tier, 'comprehensive') = 'comprehensive') as llm, count(*) filter (tier = 'instant') as instant, count(*) filter (level = 'error') as errors, count(*) filter (level = 'warning') as warnings, count(*) filter (level = 'note') as notes, count(*) filter (level = 'error' and confidence > 0.8) as sure_errors, round(sum(coalesce(confidence, 0)) / count(*), 6) as avg_conf from {findings} group by run_id")
 def run_metrics(t):
-    return t("findings").groupBy("run_id", "level").agg(F.count("*").alias("n"), F.count_if(F.coalesce("tier", F.lit("comprehensive")) == "comprehensive").alias("llm"), F.count_if(F.col("tier") == "instant").alias("instant"), F.count_if((F.col("level") == "error") & (F.col("confidence") > 0.8)).alias("sure_errors"), r6(F.sum(F.coalesce("confidence", F.lit(0.0))) / F.count("*"), "avg_conf"))
+    return M.run_measures(t("findings")).withColumn("avg_conf", F.round("avg_conf", 6))
 
 
 PROFILE = "(select team, rule_id, count(*) as total, count(*) filter (verdict = 'useful') as useful, count(*) filter (verdict = 'noise') as noise, count(*) filter (verdict = 'wrong') as wrong, avg(confidence) filter (verdict = 'noise') as noise_conf from {feedback} group by team, rule_id)"
@@ -314,8 +313,7 @@ PROFILE = "(select team, rule_id, count(*) as total, count(*) filter (verdict =
 
 @query("select verdict, count(*) as n, round(count(*) / (select count(*) from {feedback}), 6) as rate from {feedback} group by verdict")
 def feedback_stats(t):
-    f = t("feedback")
-    return f.groupBy("verdict").agg(F.count("*").alias("n")).join(F.broadcast(f.agg(F.count("*").alias("all"))), F.lit(True)).select("verdict", "n", r6(F.col("n") / F.col("all"), "rate"))
+    return V.verdict_rates(t("feedback")).withColumn("rate", F.round("rate", 6))
 
 
 @query(f"select team, rule_id, total, useful, noise, wrong from {PROFILE}")
@@ -335,19 +333,50 @@ def cross_org(t):
 
 
 def _cases(t) -> DataFrame:
+    """A case an order: expected findings of one side, actual ones of the other."""
     f = t("findings").withColumn("case_id", F.floor(F.col("ord") / 100))
-    expected = F.array_sort(F.collect_list(F.when(F.col("side") == 0, F.struct("ord", "level", F.lit("any").alias("rule_id"), F.col("start_line").alias("lo"), F.col("end_line").alias("hi")))))
-    actual = F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.struct("ord", "level", "rule_id", F.col("start_line").alias("line"), (F.col("ord") % 100).cast("int").alias("no")))))
-    return f.groupBy("case_id").agg(expected.alias("expected"), actual.alias("actual"))
+    want = F.struct("ord", F.expr("if(ord % 5 = 0, '', level)").alias("level"), F.expr("if(ord % 4 = 0, rule_id, 'any')").alias("rule_id"), F.expr("if(ord % 7 = 0, 0, start_line)").alias("lo"), F.expr("if(ord % 7 = 0, 0, end_line)").alias("hi"), F.expr("ord % 3 <> 0").alias("must_find"))
+    got = F.struct("ord", "level", "rule_id", F.expr("if(uri is null, null, start_line)").alias("line"), "uri", "confidence", (F.col("ord") % 100).cast("int").alias("no"))
+    both = [F.array_sort(F.collect_list(F.when(F.col("side") == side, x))).alias(c) for side, x, c in ((0, want, "expected"), (1, got, "actual"))]
+    return f.groupBy("case_id").agg(*both).withColumn("source", F.expr("concat('src/f', case_id % 300, '.go')"))
+
+
+CASES = """(
+with recursive c as (
+  select ord // 100 as case_id, concat('f', cast(ord // 100 % 300 as varchar), '.go') as name,
+    list(struct_pack(level := case when ord % 5 = 0 then '' else level end, rule_id := case when ord % 4 = 0 then rule_id else 'any' end, lo := case when ord % 7 = 0 then 0 else start_line end, hi := case when ord % 7 = 0 then 0 else end_line end, must := ord % 3 <> 0) order by ord) filter (side = 0) as e,
+    coalesce(list(struct_pack(level := level, rule_id := rule_id, line := case when uri is null then null else start_line end, uri := uri, confidence := confidence, no := cast(ord % 100 as int)) order by ord) filter (side = 1), []) as a
+  from {findings} group by all),
+fold as (
+  select case_id, name, coalesce(e, []) as e, a, 1 as i, cast([] as int[]) as used, 0 as missed from c
+  union all
+  select case_id, name, e, a, i + 1, case when m is null then used else list_append(used, m) end, missed + case when m is null and e[i].must then 1 else 0 end
+  from (select *, list_filter(a, lambda x: (e[i].level = '' or e[i].level = x.level) and (e[i].rule_id = 'any' or e[i].rule_id = x.rule_id) and (e[i].lo = 0 and e[i].hi = 0 or x.line is null or x.line between e[i].lo - 5 and e[i].hi + 5) and not list_contains(used, x.no))[1].no as m from fold where i <= len(e))),
+done as (
+  select case_id, len(used) as tp, len(a) - len(used) as fp, missed as fn, len(list_filter(a, lambda x: not list_contains(used, x.no) and coalesce(x.uri, '') <> '' and not suffix(x.uri, name))) as hallucinations,
+    coalesce(list_avg([x.confidence for x in a if list_contains(used, x.no)]), 0) as tp_conf, coalesce(list_avg([x.confidence for x in a if not list_contains(used, x.no)]), 0) as fp_conf
+  from fold where i = len(e) + 1),
+rated as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0 end as p, case when tp + fn > 0 then tp / (tp + fn) else 0 end as r from done)
+select *, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f1 from rated)"""
 
 
-@query()
+@query(f"select case_id, cast(tp as int) as tp, cast(fp as int) as fp, cast(fn as int) as fn, cast(hallucinations as int) as hallucinations, round(tp_conf, 6) as tp_conf, round(fp_conf, 6) as fp_conf, round(p, 6) as precision, round(r, 6) as recall, round(f1, 6) as f1 from {CASES}")
 def score_case(t):
-    """Greedy matching in order: checked in tests against a plain version."""
-    return M.score_cases(_cases(t)).select("case_id", "tp", "fp", "fn", r6(F.col("precision"), "precision"), r6(F.col("recall"), "recall"), r6(F.col("f1"), "f1"))
+    s = M.score_cases(_cases(t))
+    return s.select("case_id", "tp", "fp", "fn", "hallucinations", *[r6(F.col(c), c) for c in ("tp_conf", "fp_conf", "precision", "recall", "f1")])
+
 
+TOTAL = """(select *, case when mp + mr > 0 then 2 * mp * mr / (mp + mr) else 0 end as mf from (select sum(tp) / sum(tp + fp) as mp, sum(tp) / sum(tp + fn) as mr, avg(p) as p, avg(r) as r, avg(f1) as f1, sum(hallucinations) / sum(tp + fp) as h, coalesce(avg(tp_conf) filter (tp_conf > 0), 0) - coalesce(avg(fp_conf) filter (fp_conf > 0), 0) as c from %s))"""
 
-@query()
+
+@query(f"select round(mp, 6) as micro_precision, round(mr, 6) as micro_recall, round(mf, 6) as micro_f1, round(p, 6) as macro_precision, round(r, 6) as macro_recall, round(f1, 6) as macro_f1, round(h, 6) as hallucination_rate, round(c, 6) as calibration from {TOTAL % CASES}")
 def score_aggregate(t):
     total = M.score_total(M.score_cases(_cases(t)))
     return total.select(*[r6(F.col(c), c) for c in total.columns])
+
+
+@query(f"select case_id % 500 as group_id, count(*) as runs, cast(round(avg(tp)) as bigint) as tp, cast(round(avg(fp)) as bigint) as fp, cast(round(avg(fn)) as bigint) as fn, cast(round(avg(hallucinations)) as bigint) as hallucinations, round(avg(p), 6) as precision_mean, round(coalesce(stddev_samp(p), 0), 6) as precision_std, round(avg(f1), 6) as f1_mean, round(coalesce(stddev_samp(f1), 0), 6) as f1_std from {CASES} group by 1")
+def score_runs(t):
+    """Cases of the same remainder as runs of one case."""
+    s = M.score_runs(M.score_cases(_cases(t)).withColumn("group_id", F.col("case_id") % 500), "group_id")
+    return s.select("group_id", "runs", "tp", "fp", "fn", "hallucinations", *[r6(F.col(f"{c}_{x}"), f"{c}_{x}") for c in ("precision", "f1") for x in ("mean", "std")])

@@ -10,6 +10,7 @@ from ..operators import findings as A
 from ..operators import reports as P
 from ..operators import rules as R
 from ..operators import syntax as S
+from ..operators import views as V
 from ..sources import readers
 from .registry import ARTIFACTS, DIFFED, GATE, SUPPRESSED, _gated, _scan_sql, artifacts, query, r6
 
@@ -61,20 +62,18 @@ LINES = "string_split(content, chr(10))"
 @query(f"select path, array_to_string({LINES}[1:7], chr(10)) || case when len({LINES}) > 7 then chr(10) else '' end as region from {ARTIFACTS} where len({LINES}) >= 3")
 def context_region(t):
     """Lines 3 to 5 with two around them; null where that is the region itself."""
-    a = artifacts(t).withColumn("region", T.snippet(F.col("content"), F.lit(3), F.lit(5))).where("region is not null")
-    wide = T.snippet(F.col("content"), F.lit(1), F.lit(7))
-    return a.select("path", F.when(wide != F.col("region"), wide).alias("region"))
+    a = artifacts(t).where(T.snippet(F.col("content"), F.lit(3), F.lit(5)).isNotNull())
+    return a.select("path", V.surrounding(F.col("content"), 3, 5).alias("region"))
 
 
 @query("select ord, greatest(start_line - 10, 1) as window_start, end_line + 10 as window_end, start_line - greatest(start_line - 10, 1) + 1 as line_in_window from {findings}")
 def scoped_window(t):
-    start = F.greatest(F.col("start_line") - 10, F.lit(1))
-    return t("findings").select("ord", start.alias("window_start"), (F.col("end_line") + 10).alias("window_end"), (F.col("start_line") - start + 1).alias("line_in_window"))
+    return V.analysis_window(t("findings")).select("ord", "window_start", "window_end", "line_in_window")
 
 
 @query("select ord from {findings} where start_line <= 20 and end_line >= 15")
 def range_overlap(t):
-    return t("findings").where("start_line <= 20 and end_line >= 15").select("ord")
+    return V.overlapping(t("findings"), 15, 20).select("ord")
 
 
 FUNCTION_LINES = "select p_partkey as fn_ord, concat('src/f', cast(p_partkey % 300 as string), '.go') as uri, p_partkey % 40 as start_line, p_partkey % 40 + p_size as end_line"
@@ -83,8 +82,8 @@ FUNCTION_LINES = "select p_partkey as fn_ord, concat('src/f', cast(p_partkey % 3
 @query(f"select fn_ord, uri, cast(end_line - start_line + 1 as bigint) as n from ({FUNCTION_LINES} from {{part}}) where end_line - start_line + 1 > 40")
 def ast_function_length(t):
     """Functions of an index that are longer than 40 lines."""
-    p = t("part").selectExpr("p_partkey as fn_ord", "concat('src/f', p_partkey % 300, '.go') as uri", "cast(p_size + 1 as bigint) as n")
-    return p.where("n > 40")
+    p = t("part").selectExpr("p_partkey as fn_ord", "concat('src/f', p_partkey % 300, '.go') as uri", "p_partkey % 40 as start_line", "p_partkey % 40 + p_size as end_line")
+    return V.long_functions(p).select("fn_ord", "uri", "n")
 
 
 @query("select r.id as rule_id, count(*) as n from (%s) f join (%s) r on r.id = f.rule_id where list_contains(r.cwe, 'CWE-252') or r.category = 'security' group by 1" % (_scan_sql(R.BUILT_IN), " union all ".join("select %r as id, %r as category, cast(%r as varchar[]) as cwe" % (r.id, r.category, r.cwe) for r in R.BUILT_IN)))
@@ -131,10 +130,10 @@ def policy_overlay(t):
     return P.policy_overlay(c, ["description", "severity", "instruction"])
 
 
-@query("select n_regionkey as region, string_agg(concat('- ', n_name, ' [', case when n_nationkey % 2 = 0 then 'error' else 'note' end, ']: check ', cast(n_nationkey as string), chr(10)), '' order by n_name) as text from {nation} where n_nationkey % 4 <> 1 group by 1")
+@query("select c_nationkey as team, string_agg(concat('- ', c_name, ' [', case when c_custkey % 2 = 0 then 'error' else 'note' end, ']: check ', cast(c_custkey as string), chr(10)), '' order by c_name) as text from {customer} where c_custkey % 4 <> 1 group by 1")
 def policy_text(t):
-    n = t("nation").selectExpr("n_regionkey as region", "n_name as name", "if(n_nationkey % 2 = 0, 'error', 'note') as severity", "concat('check ', n_nationkey) as instruction", "n_nationkey % 4 <> 1 as enabled")
-    return P.policy_text(n, "region")
+    n = t("customer").selectExpr("c_nationkey as team", "c_name as name", "if(c_custkey % 2 = 0, 'error', 'note') as severity", "concat('check ', c_custkey) as instruction", "c_custkey % 4 <> 1 as enabled")
+    return P.policy_text(n, "team")
 
 
 def _diffs(t) -> DataFrame:
@@ -163,9 +162,9 @@ def diff_stats(t):
     return P.diff_stats(readers.split_diff(_diffs(t)))
 
 
-@query("select doc_id, source, least(strlen(text), 2048) as taken, strlen(text) > 2048 as cut from {documents} qualify sum(least(strlen(text), 2048)) over (partition by source order by doc_id) <= 32768")
+@query("select doc_id, source, least(strlen(coalesce(text, '')), 65536) as taken, strlen(coalesce(text, '')) > 65536 as cut from {documents} qualify sum(least(strlen(coalesce(text, '')), 65536)) over (partition by source order by doc_id) <= 262144")
 def context_budget(t):
-    return P.context_budget(t("documents").withColumn("content", F.coalesce("text", F.lit(""))), "source", "doc_id", 2048, 32768).select("doc_id", "source", "taken", "cut")
+    return P.context_budget(t("documents").withColumn("content", F.coalesce("text", F.lit(""))), "source", "doc_id").select("doc_id", "source", "taken", "cut")
 
 
 @query("select e.ord, case when l.ord is not null then 'local' when r.ord is not null then 'remote' else 'miss' end as found, coalesce(l.ms, r.ms + 1) as value, l.ord is null and r.ord is not null as warm from {analysis_events} e left join (select ord, ms from {analysis_events} where cache_result = 'hit') l on l.ord = e.ord left join (select ord, ms from {analysis_events} where ord % 3 = 0) r on r.ord = e.ord")
@@ -238,8 +237,7 @@ CODE = "(select s_suppkey as edit_ord, concat('r', cast(s_suppkey % 40 as string
 def code_actions(t):
     """For each diagnostic the first finding of its rule and line: an edit if there is a fix, else advice."""
     d = t("supplier").selectExpr("s_suppkey as edit_ord", "concat('r', s_suppkey % 40) as rule_id", "cast(s_suppkey % 50 + 1 as int) as start_line", "s_suppkey % 3 <> 0 as fixed")
-    first = t("findings").groupBy("rule_id", "start_line").agg(F.min(F.struct("ord", "end_line")).alias("f"))
-    return d.join(first, ["rule_id", "start_line"]).select("edit_ord", "f.ord", F.when(F.col("fixed"), "edit").otherwise("advice").alias("kind"), F.col("f.end_line").alias("edit_end"))
+    return V.code_actions(d, t("findings")).select("edit_ord", "ord", "kind", "edit_end")
 
 
 @query(f"select g.run_id, concat('Decision: ', g.decision, ' based on ', cast(count(*) filter (suppressed_by is null) as varchar), ' findings', case when count(suppressed_by) > 0 then concat(', ', cast(count(suppressed_by) as varchar), ' suppressed') else '' end) as reason from {GATE} g join {SUPPRESSED % DIFFED} f on f.run_id = g.run_id group by g.run_id, g.decision")

@@ -30,6 +30,12 @@ def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return _timed(events, late).groupBy(F.window("ts", "1 hour").alias("w"), "tier").agg(F.count("*").alias("n"), F.avg("ms").alias("avg_ms")).select(F.col("w.start").alias("hour"), "tier", "n", "avg_ms")
 
 
+def sliding(events: DataFrame, length: str = "1 hour", step: str = "5 minutes", late: str = "1 hour") -> DataFrame:
+    """Figures of the last hour, anew every five minutes."""
+    windows = _timed(events, late).groupBy(F.window("ts", length, step).alias("w"), "tier")
+    return windows.agg(F.count("*").alias("n"), F.avg("ms").alias("avg_ms")).select(F.col("w.end").alias("until"), "tier", "n", "avg_ms")
+
+
 def _changed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last = state.get[0] if state.exists else None
     for pdf in batches:
