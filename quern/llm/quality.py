@@ -1,12 +1,11 @@
 """Quality classifier by compression with class dictionaries.
 
-Two zstandard dictionaries are built, from good and from bad labelled texts. A text is compressed in
-blocks with each; the difference of the two sizes, divided by their sum, tells which class it resembles, and a
-logistic curve fitted on other labelled texts turns it into a probability."""
+Two zstandard dictionaries are made, of good and of bad labelled texts. A text is compressed in blocks with each;
+the difference of the two sizes, divided by the text's, tells which class it resembles, and a logistic curve of that one
+number, fitted on other labelled texts, turns it into a probability."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,15 +16,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
-LEVEL = 3
+#: Lower levels search the dictionary less well (on sf0.1 the area under the curve of held-out texts, by the
+#: difference alone, was 0.992 with level 3 and 0.997 with level 9).
+LEVEL = 9
+PIECE = 512
 
 
 @dataclass(frozen=True)
 class Model:
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]
-    spread: tuple[tuple[float, ...], tuple[float, ...]]
+    #: slope, by the differences' own spread, and constant of the logistic curve
+    weights: tuple[float, float]
+    spread: float
 
 
 class Sizes:
@@ -51,27 +54,26 @@ def _sizes(dictionary: bytes) -> Sizes:
     return _prepared[dictionary]
 
 
-def features(text: bytes | None, good: bytes, bad: bytes) -> tuple[float, ...]:
-    """The normalised difference of the compressed sizes, and what its scale depends on: how far the text
-    compresses at all, and its length. All are 0 for an empty text."""
-    text = text or b""
+def difference(text: bytes | None, good: bytes, bad: bytes) -> float:
+    """How many bytes the good dictionary saves against the bad one, by the text's bytes; 0 for no text."""
     if not text:
-        return 0.0, 0.0, 0.0, 0.0
+        return 0.0
     blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
     with_good, with_bad = _sizes(good)(blocks), _sizes(bad)(blocks)
-    difference = (with_bad - with_good) / (with_bad + with_good)
-    density = math.log((with_bad + with_good) / (2 * len(text)))
-    return difference, density, density * density, 1 / math.sqrt(len(text))
+    return (with_bad - with_good) / len(text)
 
 
 def build_dictionary(texts: list[bytes], size: int) -> bytes:
-    """Trained on blocks of the texts, with zstandard's own trainer; where it finds too little to train on,
-    the blocks themselves up to that size."""
-    blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
-    try:
-        return zstandard.train_dictionary(size, blocks).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(blocks)[-size:] or b"-" * 64
+    """Pieces of the texts, the first of each, then the second of each, and so on, up to that size in all."""
+    out, held, at = [], 0, 0
+    while held < size and (left := [t for t in texts if len(t) > at]):
+        for t in left:
+            out.append(t[at : at + PIECE])
+            held += len(out[-1])
+            if held >= size:
+                break
+        at, texts = at + PIECE, left
+    return b"".join(out)[:size] or b"-" * 64
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -95,7 +97,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_bytes: int = 8 << 20, dictionary_bytes: int = 64 << 10) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_bytes: int = 8 << 20, dictionary_bytes: int = 256 << 10) -> Model:
     """Fit on a bounded sample of labelled rows: of each class the per_class smallest hashes of doc_id, texts
     up to class_bytes in all. A text gives its first class_bytes / 32 bytes at most (256 KiB), so that long ones
     can't use up a class: a class of 32 texts or more fits on 32 at least. Half of them, by hash, build the dictionaries; the others calibrate.
@@ -114,19 +116,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_bytes:
     for r in rows:
         sides[r.quality, r.h & 1].append(bytes(r.text))
     good, bad = (build_dictionary(sides[q, 0], dictionary_bytes) for q in (1, 0))
-    x = np.array([features(t, good, bad) for q in (0, 1) for t in sides[q, 1]] or [features(b"", good, bad)])
-    y = np.array([q for q in (0, 1) for _ in sides[q, 1]] or [1], float)
+    x = np.array([difference(t, good, bad) for q in (0, 1) for t in sides[q, 1]])
+    y = np.array([q for q in (0, 1) for _ in sides[q, 1]], float)
     if len(set(y)) < 2:
-        return Model(good, bad, (0.0,) * x.shape[1] + (2.0 if y.mean() > 0.5 else -2.0,), ((0.0,) * x.shape[1], (1.0,) * x.shape[1]))
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights = fit_logistic((x - mean) / scale, y)
-    return Model(good, bad, tuple(weights), (tuple(mean), tuple(scale)))
+        return Model(good, bad, (0.0, 0.0 if not len(y) else 2.0 if y[0] else -2.0), 1.0)
+    scale = float(x.std()) + 1e-9
+    slope, constant = fit_logistic(x[:, None] / scale, y)
+    return Model(good, bad, (float(slope), float(constant)), scale)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with quality_score added: the probability that a text's label is 1.
 
-    Only the text is read. Null and empty texts get a score too, from features of 0. A column of docs called
+    Only the text is read. Null and empty texts get a score too, from a difference of 0. A column of docs called
     quality_score is replaced; repeated rows each give a row; an empty table gives none."""
     plain = [c for c in docs.columns if c != "quality_score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -135,12 +137,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        mean, scale = map(np.array, m.spread)
-        w = np.array(m.weights)
+        slope, constant = m.weights
         for batch in batches:
             texts = batch.column(text_at).cast(pa.binary()).to_pylist()
-            x = np.array([features(t, m.good, m.bad) for t in texts]).reshape(len(texts), len(mean))
-            p = 1 / (1 + np.exp(-np.clip((x - mean) / scale @ w[:-1] + w[-1], -30, 30)))
+            x = np.array([difference(t, m.good, m.bad) for t in texts], float)
+            p = 1 / (1 + np.exp(-np.clip(slope * x / m.spread + constant, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*plain, "quality_score"])
 
     return docs.select(*plain).mapInArrow(run, schema)
