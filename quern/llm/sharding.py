@@ -1,8 +1,9 @@
 """Two-pass external shuffle of records into shards, with DataFrame operations only.
 
 Pass one scatters records by a seeded hash into buckets that fit in memory; pass two shuffles each bucket
-(Spark's shuffle() of an array is a seeded Fisher-Yates shuffle) and lays the buckets end to end. The
-position in that order gives shard and slot, so shard sizes differ by one row at most."""
+(Spark's shuffle() of an array is a seeded Fisher-Yates shuffle) and lays the buckets end to end. That order is
+cut into shards whose sizes differ by one row at most; a shard is a run of it, so a bucket lies in one shard or on
+the border of a few and is written from where it was shuffled."""
 
 from __future__ import annotations
 
@@ -20,24 +21,32 @@ def row_bytes(column: str = "text"):
 def external_shuffle(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int = 8 << 20) -> DataFrame:
     """All columns of docs, and shard (0 .. shards-1) and slot (gapless from 0 in each shard).
 
-    docs: (doc_id, text, ...). Rows are scattered by doc_id, and rows without one by all their columns.
-    Null and empty texts count one byte; repeated rows each keep their place; an empty table gives no rows.
-    Input columns that are called shard or slot are replaced. The same seed, data and number of buckets
-    give the same order. bucket_bytes bounds what a task holds of one bucket."""
+    docs: (doc_id, text, ...). Rows are scattered by doc_id and text. Null and empty texts count one byte; repeated rows
+    each keep their place; an empty table gives no rows. Columns may be of any kind that JSON can hold, maps included.
+    Input columns that are called shard or slot are replaced. The same seed, data, number of buckets and number of
+    shuffle partitions give the same order (Spark's shuffle() adds the partition to the seed). bucket_bytes is the
+    mean size of a bucket, which a task holds one after the other; rows that agree in doc_id and text can't be told
+    apart by a hash and share a bucket."""
     plain = [c for c in docs.columns if c not in ("shard", "slot")]
-    spread = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit(seed), "doc_id")), F.xxhash64(F.lit(seed), *plain))
-    total = docs.agg(F.sum(row_bytes())).first()[0] or 0
-    buckets = max(1, math.ceil(total / bucket_bytes))
-    scattered = docs.select(F.struct(*plain).alias("row"), spread.alias("h")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    spread = F.xxhash64(F.lit(seed), "doc_id", "text")
+    total = docs.agg(F.sum(row_bytes()).alias("bytes"), F.count("*").alias("rows")).first()
+    rows, buckets = total.rows, max(1, math.ceil((total.bytes or 0) / bucket_bytes))
+    scattered = docs.select(F.struct(*plain).alias("row"), spread.alias("h"), F.xxhash64(F.to_json(F.struct(*plain))).alias("tie")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     counts = docs.select(F.pmod(spread, F.lit(buckets)).alias("bucket")).groupBy("bucket").count()
+    # a row a bucket
     before = counts.select("bucket", (F.sum("count").over(Window.orderBy("bucket")) - F.col("count")).alias("before"))
-    held = scattered.repartition(max(1, buckets // 2), "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("h", "row"))).alias("rows"))
+    less = lambda a, b: F.when(a.h < b.h, -1).when(a.h > b.h, 1).when(a.tie < b.tie, -1).when(a.tie > b.tie, 1).otherwise(0)
+    held = scattered.repartition(max(1, buckets // 2), "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("h", "tie", "row")), less).alias("rows"))
     shuffled = held.sortWithinPartitions("bucket").select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
     placed = shuffled.join(before, "bucket").select("before", F.posexplode("rows").alias("pos", "item"))
-    at = F.col("before") + F.col("pos")
-    return placed.select("item.row.*", (at % shards).cast("int").alias("shard"), F.floor(at / F.lit(shards)).cast("long").alias("slot"))
+    at = (F.col("before") + F.col("pos")).cast("decimal(38,0)")
+    # shard s is the run from s * rows / shards, rounded up
+    shard = F.floor(at * shards / F.lit(max(1, rows)))
+    whole = placed.select("item.row.*", shard.cast("int").alias("shard"), at.cast("long").alias("slot"))
+    return whole.withColumn("slot", F.col("slot") - F.ceil(F.col("shard").cast("decimal(38,0)") * rows / F.lit(shards)).cast("long"))
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """One folder of Parquet files for each shard; rows keep their slot as a column and lie in its order."""
-    shuffled.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder of Parquet files for each shard; rows keep their slot as a column. Each task writes the buckets it
+    has shuffled, in order, so nothing is moved again."""
+    shuffled.write.partitionBy("shard").parquet(path)

@@ -23,9 +23,10 @@ QUERY_ROWS = 256
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, dim, q): floor(scale * component); without rows that hold a null or non-finite component."""
+    """(vec_id, dim, q): floor(scale * component); without rows that hold a null or non-finite component, or one whose
+    quantised value needs more than 32 bits: their sums could leave 64 bits."""
     x = F.col("embedding")
-    fine = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    fine = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float(1 << 31) / scale))
     ints = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))
     return vectors.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.size(x).alias("dim"), ints.alias("q"))
 
@@ -132,7 +133,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: int = 256,
     queries, vectors: (vec_id long, embedding array, ...). A query's own vec_id is no candidate of its; ties
     go to the smaller vec_id. Vectors that are null, empty, lack an id or hold null or non-finite components
     take no part; vectors of another length than the query's are not compared with it. A vector that is
-    repeated is a candidate each time; a repeated query is asked once. Components stay below 2**31 / scale.
+    repeated is a candidate each time; a repeated query is asked once. Vectors with a component of 2**31 / scale or more, or
+    of -2**31 / scale or less, take no part either.
     Fewer candidates give fewer rows; empty tables give none. Other columns are ignored.
 
     Queries in blocks meet each block of the index, every pair in a task's turn of its own."""

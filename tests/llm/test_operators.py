@@ -104,6 +104,32 @@ def test_shards_are_even_and_gapless(spark):
     assert place(other) != place(rows)
 
 
+def test_shards_query_by_its_law(spark):
+    """Sizes, checksums, the law and the shards' sizes of the whole table; and that a shard is a run of buckets."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in queries.table(spark, sf, "documents").collect()}
+    rows = queries.op2_shards(spark, sf).collect()
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in rows) == sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in docs.items())
+    assert {(r.law, r.grown_shard) for r in rows} == {("rows", None)}
+    shards = {s: sorted(r.slot for r in rows if r.shard == s) for s in {r.shard for r in rows}}
+    assert set(shards) == set(range(8)) and all(x == list(range(len(x))) for x in shards.values())
+    assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+
+
+@pytest.mark.parametrize(("n", "shards"), [(1, 8), (7, 8), (8, 8), (9, 8), (100, 7)])
+def test_shards_of_few_rows(spark, n, shards):
+    rows = sharding.external_shuffle(texts.frame(spark, [(i, "t") for i in range(n)]), shards=shards, bucket_bytes=16).collect()
+    slots = {s: sorted(r.slot for r in rows if r.shard == s) for s in range(shards)}
+    assert sum(map(len, slots.values())) == n and all(x == list(range(len(x))) for x in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_shards_with_maps_and_one_repeated_id(spark):
+    docs = spark.createDataFrame([(1, f"t{i}", {"a": i}) for i in range(300)] + [(None, None, None)] * 3, "doc_id long, text string, m map<string,int>")
+    rows = sharding.external_shuffle(docs, shards=4, bucket_bytes=50).collect()
+    assert Counter(r.text for r in rows) == Counter([f"t{i}" for i in range(300)] + [None] * 3) and all(r.m is None or r.m["a"] == int(r.text[1:]) for r in rows)
+
+
 def test_shuffle_is_uniform(spark):
     """Every document is about as likely in every eighth of the order."""
     docs = texts.frame(spark, [(i, "t") for i in range(400)])
@@ -543,6 +569,7 @@ def test_top_k_as_brute_force(spark):
         if i % 50 == 0:
             best = sorted((-sum(a * b for a, b in zip(v, u)), j) for j, u in ok if j != i and len(u) == len(v))[:5]
             want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    df = df.unionByName(spark.createDataFrame([(550, [1e30] * 8, "x"), (600, [-9e6] + [0.0] * 7, "x")], df.schema))
     for block in (64, 16_384):
         assert got(topk.top_k(df.where("vec_id % 50 = 0"), df, block_rows=block), "query_id", "rank", "vec_id", "score") == sorted(want)
 
