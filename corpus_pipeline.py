@@ -5,41 +5,65 @@ kept, and returns a DataFrame, which is written as Parquet and read again as the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, mixing, near_dedup, quality, queries, sharding
 from quern.llm.common import written
 
 
+_PLACE = "place_among_repeats"
+
+
+def _hidden(docs: DataFrame, taken: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns whose names an operator takes for its own renamed, and how."""
+    names = {c: f"kept_aside_{c}" for c in docs.columns if c in taken}
+    return docs.withColumnsRenamed(names), names
+
+
+def _shown(df: DataFrame, names: dict[str, str], docs: DataFrame) -> DataFrame:
+    """docs' own columns again."""
+    return df.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.5 or more."""
+    """Documents that the classifier scores 0.5 or more. Null and empty texts are scored too; repeated rows share their
+    fate; a column that is called quality_score comes back as it was. No labels: all score 0.5 and stay."""
     model = quality.fit(docs, queries.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("quality_score >= 0.5").select(*docs.columns)
+    hidden, names = _hidden(docs, ["quality_score"])
+    return _shown(quality.score(hidden, model).where("quality_score >= 0.5"), names, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest
-    id; of rows that repeat an id, one. Rows without an id stay."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id. Texts
+    without words and rows without an id stay. Rows that repeat an id stay or go together, but of those that repeat
+    id and text one stays, that with the first JSON."""
     kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    stay = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    first = Window.partitionBy("doc_id", F.xxhash64("text"), F.crc32("text")).orderBy(F.to_json(F.struct(*docs.columns)))
+    # a doc_id that occurs once is a partition of its own, so nothing large is put in order
+    one = stay.withColumn(_PLACE, F.row_number().over(first)).where(f"{_PLACE} = 1").drop(_PLACE)
     return one.unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any ten-word window of a benchmark item."""
+    """Documents without any ten-word window of a benchmark item. Null and empty texts have no words and stay; rows that
+    repeat an id are judged by their own texts; an empty benchmark keeps all."""
     hit = decontaminate.contamination(docs, queries.table(spark, sf_dir, "benchmark")).where("contaminated")
     hit = hit.select(F.col("doc_id").alias("hit_id"), "text_hash").distinct()
     return docs.join(hit, docs.doc_id.cast("long").eqNullSafe(hit.hit_id) & (F.xxhash64(docs.text.cast("string")) == hit.text_hash), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Half of the tokens, by the target weights of domains, languages and sources; no document twice."""
-    return mixing.mix(docs, queries.LEVELS, queries.WEIGHTS, fraction=0.5, epochs=1).select(*docs.columns)
+    """Half of the tokens, by the target weights of domains, languages and sources; no document twice. A null language
+    or source is a node of its own; texts without words go with their place in their leaf's order; columns that are
+    called mix_... come back as they were."""
+    hidden, names = _hidden(docs, [f"mix_{x}" for x in (*queries.LEVELS, "tokens", "epoch")])
+    return _shown(mixing.mix(hidden, queries.LEVELS, queries.WEIGHTS, fraction=0.5, epochs=1), names, docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot in a seeded shuffle."""
+    """All documents with their shard and slot in a seeded shuffle; see external_shuffle() for nulls and repeats."""
     return sharding.external_shuffle(docs, shards=8)
 
 
