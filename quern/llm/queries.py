@@ -37,7 +37,7 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +91,21 @@ grams as (
   from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from words, (select distinct len as n from windows))),
 found as (select g.doc_id, g.pos, g.len, x.item_id from grams g join windows x on g.len = x.len and g.phrase = x.phrase),
 hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(pos, pos + len)) as p from found) group by doc_id),
-named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from found) group by doc_id)
+named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from found) group by doc_id),
+tok as (select doc_id, unnest(w) as term, unnest(range(len(w))) as pos from words),
+freq as (select term, count(*) as n from tok group by term),
+win as (select distinct phrase, string_split(phrase, ' ') as ws from windows),
+ranked as (select p.phrase, p.term, p.shift, row_number() over (partition by p.phrase order by coalesce(f.n, 0), p.shift) as bit
+  from (select phrase, unnest(ws) as term, unnest(range(len(ws))) as shift from win) p left join freq f on f.term = p.term),
+anchor as (select *, max(bit) over (partition by phrase) as need from ranked where bit <= 3),
+starts as (select t.doc_id, a.phrase, t.pos - a.shift as s, a.bit, a.need from tok t join anchor a on a.term = t.term),
+lagged as (select *, lag(s) over o as was, lag(bit) over o as was_bit from starts window o as (partition by doc_id, phrase order by s, bit)),
+cand as (select distinct doc_id, phrase, case when need = 1 then s else was end as s from lagged where need = 1 or (bit <> was_bit and s - was <= 4)),
+near as (select c.doc_id, count(distinct c.phrase) as n_near from cand c join words d on d.doc_id = c.doc_id join win x on x.phrase = c.phrase
+  where len(list_intersect(list_distinct(x.ws), d.w[greatest(1, c.s - 3):greatest(1, c.s - 3) + len(x.ws) + 7])) >= len(list_distinct(x.ws)) - len(list_distinct(x.ws)) // 5 group by c.doc_id)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(hit.n_hit, 0) as bigint) as n_hit, cast(coalesce(named.n_items, 0) as bigint) as n_items,
-  sha256(coalesce(named.ids, '')) as items_sha256, coalesce(hit.n_hit, 0) > 0 as contaminated
-from words d left join hit on d.doc_id = hit.doc_id left join named on d.doc_id = named.doc_id
+  sha256(coalesce(named.ids, '')) as items_sha256, coalesce(hit.n_hit, 0) > 0 as contaminated, cast(coalesce(near.n_near, 0) as bigint) as n_near
+from words d left join hit on d.doc_id = hit.doc_id left join named on d.doc_id = named.doc_id left join near on near.doc_id = d.doc_id
 """,
     "op10_top_k": """
 with q as (select vec_id, [cast(floor(cast(x as double) * 256) as bigint) for x in embedding] as v from embeddings

@@ -156,11 +156,53 @@ def test_contamination_as_brute_force(spark):
         assert found == sorted(texts.contamination(docs, bench, width), key=texts.key)
 
 
-def test_proximity(spark):
-    docs = texts.frame(spark, [(1, "the quick zebra of jumping yaks"), (2, "the quick zebra so very jumping yaks"), (3, "the the of"), (4, "zebra a b c d e f g h i yaks")])
-    items = spark.createDataFrame([(7, "zebra of jumping yaks")], "item_id long, text string")
-    found = {(r.doc_id, r.gap) for r in decontaminate.proximity_matches(docs, items, width=4, slop=2).collect()}
-    assert (1, 0) in found and {d for d, _ in found} <= {1, 2}
+def near_windows(docs, items, width, slop):
+    """(place of the document, phrase) of near matches, by plain Python."""
+    words = [texts.ascii_words(t) for _, t in docs]
+    count = Counter(w for ws in words for w in ws)
+    out = set()
+    for phrase in {p for p, _ in texts.windows(items, width)}:
+        rare = sorted(range(len(phrase)), key=lambda i: (count[phrase[i]], i))[:3]
+        for d, ws in enumerate(words):
+            starts = [{a - i for a, w in enumerate(ws) if w == phrase[i]} for i in rare]
+            pairs = [min(x, y) for a in range(len(starts)) for b in range(a) for x in starts[a] for y in starts[b] if abs(x - y) <= slop]
+            exact = [x for x in starts[0] if len(rare) == 1]
+            for s in {*pairs, *exact}:
+                around = set(ws[max(0, s - slop) : max(0, s - slop) + len(phrase) + 2 * slop])
+                own = set(phrase)
+                if len(own & around) >= len(own) - len(own) // 5:
+                    out.add((d, phrase))
+    return out
+
+
+def test_near_matches_as_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(40)] + ["the", "of"] * 10
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 10, 14])))) for i in range(12)]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(80)))) for i in range(30)]
+    for i in range(30):  # passages with a word changed, dropped or put in
+        w = items[rng.randrange(len(items))][1].split()
+        at = rng.randrange(len(w))
+        w[at : at + rng.randrange(2)] = rng.choice([[], ["zz"], ["yy", "zz"]])
+        docs.append((100 + i, f"{docs[i][1]} {' '.join(w)} {docs[-1][1]}"))
+    docs += [(200, None), (201, ""), (202, items[2][1])]
+    frame, bench = texts.frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    want = Counter(d for d, _ in near_windows(docs, items, 10, 4))
+    found = decontaminate.contamination(frame, bench)
+    assert {r.doc_id: r.n_near for r in found.collect()} == {i: want[d] for d, (i, _) in enumerate(docs)}
+    where = decontaminate.proximity_matches(frame, bench).select("doc_id", "window").distinct().groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in where} == {docs[d][0]: n for d, n in want.items()}
+    assert sum(want.values()) > 20
+
+
+def test_a_stored_index_serves_several_benchmarks(spark, tmp_path):
+    docs = texts.awkward(3)
+    frame = texts.frame(spark, docs)
+    index = decontaminate.build_index(frame, str(tmp_path / "index"))
+    for bench in ([(1, docs[7][1][40:300]), (2, "one two")], [(5, docs[6][1][:200]), (6, "É")]):
+        items = spark.createDataFrame(bench, "item_id long, text string")
+        cols = ("doc_id", "n_words", "n_hit", "items_sha256", "n_near")
+        assert got(decontaminate.contamination(frame, items, index=index), *cols) == got(decontaminate.contamination(frame, items), *cols)
 
 
 def test_quality_on_held_out_rows(spark):
