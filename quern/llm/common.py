@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where that is unset and all runs on one machine."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="quern-")
@@ -32,16 +36,15 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     lost executors."""
     path = new_path(df.sparkSession, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by written() once nothing reads it any more."""
-    spark = df.sparkSession
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if top.startswith(work_dir(spark)) or work_dir(spark).removeprefix("file://") in top:
-            path = spark._jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the files of a table as written() returned it, once nothing reads it any more."""
+    spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class WordHashes(dict):
