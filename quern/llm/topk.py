@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 BLOCK_ROWS = 16_384
-QUERY_ROWS = 256
+#: Queries that a task asks of one block: about as many bytes as the block itself
+QUERY_ROWS = 4096
+#: Pairs of a block and a part of the queries to make at least, down to 256 queries a part
+MIN_PAIRS = 64
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -40,14 +43,16 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     bits = max(1, int(x.max()).bit_length())
     room = -len(x) % 64
     slices = [np.packbits(np.pad((x >> b & 1).astype(np.uint8), ((0, room), (0, 0))), axis=0, bitorder="little").T.copy() for b in range(bits)]
-    return pd.DataFrame({"dim": [x.shape[1]], "block": [pdf["block"].iloc[0]], "n": [len(x)], "bits": [bits], "low": [low.tolist()], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "slices": [np.stack(slices).tobytes()]})
+    return pd.DataFrame({"dim": [x.shape[1]], "block": [pdf["block"].iloc[0]], "n": [len(x)], "bits": [bits], "low": [low.tolist()], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "times": [pdf["times"].to_numpy(np.int64).tobytes()], "slices": [np.stack(slices).tobytes()]})
 
 
 def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """A row a block of about block_rows quantised vectors: dim, block, n, bits, low, ids, slices."""
+    """A row a block of about block_rows distinct quantised vectors: dim, block, n, bits, low, ids, times (how often each
+    is there), slices. Rows are dealt by a hash; repeated ones are counted before, so none makes a block hot."""
+    vectors = written(vectors.groupBy("vec_id", "dim", "q").agg(F.count("*").alias("times")), "vectors")
     blocks = max(1, math.ceil(vectors.count() / block_rows))
     dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "q"), F.lit(blocks)).cast("int"))
-    return written(dealt.groupBy("dim", "block").applyInPandas(_build, "dim int, block int, n int, bits int, low array<long>, ids binary, slices binary"), "bit-slices")
+    return written(dealt.groupBy("dim", "block").applyInPandas(_build, "dim int, block int, n int, bits int, low array<long>, ids binary, times binary, slices binary"), "bit-slices")
 
 
 def weighted_sums(slices: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
@@ -94,35 +99,51 @@ def select_top(sums: list[np.ndarray], rows: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([first, at(even)[: max(0, k - len(first))]])
 
 
+class _Block:
+    """One block of the index, unpacked."""
+
+    def __init__(self, row: dict):
+        self.bits, self.low = row["bits"], np.array(row["low"], np.int64)
+        self.ids, self.times = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["times"], np.int64)
+        self.slices = np.frombuffer(row["slices"], np.uint64).reshape(self.bits, row["dim"], -1)
+        self.full = self._bitmap(0, row["n"])
+
+    def _bitmap(self, start: int, end: int) -> np.ndarray:
+        rows = np.zeros(self.slices.shape[2] * 64, np.uint8)
+        rows[start:end] = 1
+        return np.packbits(rows, bitorder="little").view(np.uint64)
+
+    def best(self, vec_id: int, q: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+        """(vec_id, times, score) of the k best distinct vectors but those with the query's own id."""
+        # a negative weight takes the complement of its attribute, which the constant makes good
+        below = q < 0
+        sums = weighted_sums(np.where(below[None, :, None], ~self.slices, self.slices), np.abs(q))
+        constant = int(q @ self.low) + int(q[below].sum()) * ((1 << self.bits) - 1)
+        rows = self.full
+        a, b = np.searchsorted(self.ids, vec_id), np.searchsorted(self.ids, vec_id, "right")
+        if a < b:
+            rows = rows & ~self._bitmap(a, b)
+        for at in select_top(sums, rows, k).tolist():
+            total = sum(int(s[at >> 6] >> np.uint64(at & 63)) % 2 << i for i, s in enumerate(sums))
+            yield int(self.ids[at]), int(self.times[at]), total + constant
+
+
 def _search(k: int):
+    """Of rows in order of pair, each pair a block of the index and then its queries, each query's best of the block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pair = None
         for batch in batches:
-            for row in batch.to_pylist():
-                dim, n, bits, low = row["dim"], row["n"], row["bits"], np.array(row["low"], np.int64)
-                ids = np.frombuffer(row["ids"], np.int64)
-                slices = np.frombuffer(row["slices"], np.uint64).reshape(bits, dim, -1)
-                full = np.zeros(slices.shape[2] * 64, np.uint8)
-                full[:n] = 1
-                full = np.packbits(full, bitorder="little").view(np.uint64)
-                top = (1 << bits) - 1
-                out: list[list[int]] = [[], [], [], []]
-                for query in row["queries"]:
-                    q = np.array(query["q"], np.int64)
-                    # a negative weight takes the complement of its attribute, which the constant makes good
-                    below = q < 0
-                    sums = weighted_sums(np.where(below[None, :, None], ~slices, slices), np.abs(q))
-                    constant = int(q @ low) + int(q[below].sum()) * top
-                    rows = full
-                    a, b = np.searchsorted(ids, query["vec_id"]), np.searchsorted(ids, query["vec_id"], "right")
-                    if a < b:
-                        own = np.zeros(len(full) * 64, np.uint8)
-                        own[a:b] = 1
-                        rows = full & ~np.packbits(own, bitorder="little").view(np.uint64)
-                    for at in select_top(sums, rows, k).tolist():
-                        total = sum(int(s[at >> 6] >> np.uint64(at & 63)) % 2 << i for i, s in enumerate(sums))
-                        for c, v in zip(out, (query["no"], query["vec_id"], int(ids[at]), total + constant), strict=True):
+            out: list[list[int]] = [[], [], [], [], []]
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("pair", "dim", "n", "bits", "low", "ids", "times", "slices", "no", "vec_id", "q")}
+                if row["slices"] is not None:
+                    block, pair = _Block(row), row["pair"]
+                elif row["pair"] == pair:  # queries of a length that no vector of the block has meet no block
+                    for found in block.best(row["vec_id"], np.array(row["q"], np.int64), k):
+                        for c, v in zip(out, (row["no"], row["vec_id"], *found), strict=True):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["no", "query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["no", "query_id", "vec_id", "times", "score"])
 
     return run
 
@@ -137,17 +158,20 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: int = 256,
     of -2**31 / scale or less, take no part either.
     Fewer candidates give fewer rows; empty tables give none. Other columns are ignored.
 
-    Queries in blocks meet each block of the index, every pair in a task's turn of its own."""
+    Each part of up to QUERY_ROWS queries meets each block of the index in a task's turn: the block comes first, the
+    queries after it one by one, so a task holds one block however many queries there are."""
     index = build_index(quantised(vectors, scale), block_rows)
-    asked = quantised(queries, scale).distinct().withColumn("no", F.xxhash64("vec_id", "q"))
-    asked = written(asked, "queries")
-    groups = max(1, math.ceil(asked.count() / QUERY_ROWS))
-    blocks = index.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0] + 1
-    asked = asked.withColumn("group", F.pmod("no", F.lit(groups)).cast("int")).groupBy("dim", "group").agg(F.collect_list(F.struct("no", "vec_id", "q")).alias("queries"))
-    pair = lambda d, b, g: F.concat_ws(":", d, b, g).alias("pair")
-    n = min(2000, groups * blocks)
-    left = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(pair("dim", "block", "group"), "dim", "n", "bits", "low", "ids", "slices").repartition(n, "pair")
-    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(pair("dim", "block", "group"), "queries").repartition(n, "pair")
-    found = left.join(right, "pair").drop("pair").mapInArrow(_search(k), "no long, query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("no", "query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    asked = written(quantised(queries, scale).distinct().withColumn("no", F.xxhash64("vec_id", "q")), "queries")
+    n, blocks = asked.count(), index.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0] + 1
+    parts = max(1, math.ceil(n / QUERY_ROWS), min(math.ceil(n / 256), math.ceil(MIN_PAIRS / blocks)))
+    pair = F.concat_ws(":", "dim", "block", "part").alias("pair")
+    spread = lambda df, name, count: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    left = spread(index, "part", parts).select(pair, "dim", "n", "bits", "low", "ids", "times", "slices")
+    right = spread(asked.withColumn("part", F.pmod("no", F.lit(parts))), "block", blocks).select(pair, "no", "vec_id", "q")
+    rows = left.unionByName(right, allowMissingColumns=True).repartition(min(20_000, parts * blocks), "pair").sortWithinPartitions("pair", F.col("slices").isNull())
+    found = rows.mapInArrow(_search(k), "no long, query_id long, vec_id long, times long, score long")
+    by = Window.partitionBy("no", "query_id").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("at", F.row_number().over(by)).where(F.col("at") <= k)
+    each = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("times"), F.lit(k)).cast("int"))))
+    rank = F.row_number().over(Window.partitionBy("no", "query_id").orderBy("at", "copy"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -625,3 +625,27 @@ def test_encoder_as_the_tokenizer_on_each_character_and_on_mixed_texts():
     for batch in (mixed, around):
         for text, data in zip(batch, map(enc, batch), strict=True):
             assert list(struct.unpack(f"<{len(data) // 4}I", data)) == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("edge_rows", [1, 8])
+def test_mixture_cuts_ranges_down_to_repeated_rows(spark, edge_rows):
+    docs = [(i, f"a b c {i}") for i in range(60)] + [(7, "the same row again")] * 90 + [(60 + i, "") for i in range(9)]
+    for fraction, epochs in ((0.4, 1), (1.3, 2)):
+        chosen = mixing.mix(texts.frame(spark, docs), queries.LEVELS, queries.WEIGHTS, fraction, epochs, edge_rows=edge_rows)
+        found = Counter((r.doc_id, r.mix_epoch) for r in chosen.collect())
+        assert found == mixed(docs, fraction, epochs, [queries.WEIGHTS[x] for x in ("domain", "lang", "source")])[0]
+
+
+def test_top_k_counts_repeated_vectors_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(400)]
+    rows += [rows[90]] * 3 + [(60, [9.0] * 4)] * 7 + [(50, rows[50][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for i, v in {(i, tuple(v)) for i, v in ints if i % 50 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(v, u)), j) for j, u in ints if j != i)[:5]
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    found = topk.top_k(df.where("vec_id % 50 = 0"), df, block_rows=100)
+    assert got(found, "query_id", "rank", "vec_id", "score") == sorted(want)
