@@ -99,13 +99,15 @@ def ends(slim: DataFrame, budgets: DataFrame, names: list[str], epochs: int, see
     while True:
         depth += 2
         cell = F.substring("place", 1, depth)
-        sums = left.groupBy(*names, cell.alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.first("room").alias("room"))
+        sums = left.groupBy(*names, cell.alias("cell")).agg(F.sum("n").alias("n"), F.first("room").alias("room"))
         before = F.sum("n").over(Window.partitionBy(*names).orderBy("cell")) - F.col("n")
         edge = sums.withColumn("before", before).where("before <= room and before + n > room")
-        edge = written(edge.select(*[F.col(c).alias(f"e_{c}") for c in names], F.col("cell").alias("e_cell"), "rows", (F.col("room") - F.col("before")).alias("e_room")), "edge")
+        edge = written(edge.select(*[F.col(c).alias(f"e_{c}") for c in names], F.col("cell").alias("e_cell"), (F.col("room") - F.col("before")).alias("e_room")), "edge")
         inside = left.join(edge, _same(left, edge, names, "e_") & (cell == edge.e_cell))
         left = written(inside.select(*names, "place", "n", F.col("e_room").alias("room")), "edge-rows")
-        if depth == 48 or (edge.agg(F.max("rows")).first()[0] or 0) <= edge_rows:
+        # a range with a single key isn't cut: its rows are counted before the keys are put in order
+        sizes = left.groupBy(*names).agg(F.count("*").alias("rows"), F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo < hi")
+        if (sizes.agg(F.max("rows")).first()[0] or 0) <= edge_rows:
             break
     keys = left.groupBy(*names, "place").agg(F.max("n").alias("one"), F.count("*").alias("rows"), F.first("room").alias("room"))
     before = F.sum(F.col("one") * F.col("rows")).over(Window.partitionBy(*names).orderBy("place")) - F.col("one") * F.col("rows")
