@@ -222,6 +222,19 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _beside(members: DataFrame, one: DataFrame, most: int = 512) -> DataFrame:
+    """Members (key, rep, ...) with their key's row of `one` (key, m, ...), m being the number of members.
+
+    A key with more than `most` members and a two-thousandth of all is dealt over parts, each with a copy of its row:
+    there are fewer than 2000 such keys, whatever the size, and these alone are broadcast."""
+    limit = max(most, (one.agg(F.sum("m")).first()[0] or 0) // 2000)
+    parts = F.ceil(F.col("m") / limit).cast("int")
+    hot = one.where(F.col("m") > limit).select(F.col("key").alias("hot"), parts.alias("parts"))
+    dealt = members.join(F.broadcast(hot), F.col("key") == F.col("hot"), "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int")).drop("hot", "parts")
+    return dealt.join(one.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), ["key", "part"]).drop("part")
+
+
 def near_duplicates(docs: DataFrame, threshold_pct: int = 80, width: int = 5, max_pivot_rounds: int = 4) -> DataFrame:
     """Group documents whose sets of `width`-word shingles have a Jaccard similarity of threshold_pct % or more.
 
@@ -242,7 +255,10 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 80, width: int = 5, ma
     member = sigs.select("doc_id", "n_shingles", "digest").join(reps.select("digest", "rep"), "digest", "left")
     out = member.join(groups, member.rep == groups.node, "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
+    result = written(out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept")), "groups")
+    for done in (sigs, reps):
+        discard(done)
+    return result
 
 
 def _links(base: DataFrame, reps: DataFrame, pct: int, width: int, max_pivot_rounds: int) -> DataFrame:
@@ -272,16 +288,21 @@ def _links(base: DataFrame, reps: DataFrame, pct: int, width: int, max_pivot_rou
         """Of pairs (a, b), those whose full sets are similar enough."""
         near = written(near, "candidates")
         full = near.join(texts.select(F.col("rep").alias("a"), F.col("packed").alias("x")), "a").join(texts.select(F.col("rep").alias("b"), F.col("packed").alias("y")), "b")
-        return written(full.select("a", "b", "x", "y").mapInArrow(_linked(width, pct), "a long, b long").distinct(), "links")
+        out = written(full.select("a", "b", "x", "y").mapInArrow(_linked(width, pct), "a long, b long").distinct(), "links")
+        discard(near)
+        return out
 
     edges = links(nearest(members.where("rep <> pivot").select("rep", "pivot").distinct()))
-    new, left = edges, members.select("key", "rep")
+    new, left, old = edges, members.select("key", "rep"), members
     for turn in range(max_pivot_rounds + 1):
         groups = components(edges)
         edges = written(groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")), "stars")
         named = left.join(groups, left.rep == groups.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("group"))
         mixed = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("m"), F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("h"), F.col("rep").alias("pivot"), F.col("group").alias("pivot_group"))).alias("p")).where("lo <> hi")
-        left = written(named.join(mixed.select("key", "m", "p.pivot", "p.pivot_group"), "key"), "unresolved")
+        mixed = written(mixed.select("key", "m", "p.pivot", "p.pivot_group"), "mixed")
+        left = written(_beside(named, mixed), "unresolved")
+        discard(old)
+        old = left
         n, all_pairs = left.agg(F.count("*"), F.coalesce(F.sum((F.col("m") - 1) / 2), F.lit(0.0))).first()
         if not n:
             break
@@ -295,4 +316,6 @@ def _links(base: DataFrame, reps: DataFrame, pct: int, width: int, max_pivot_rou
             break
         new = links(nearest(left.where("group <> pivot_group").select("rep", "pivot").distinct()))
         edges, left = edges.unionByName(new), left.select("key", "rep")
+    for done in (old, texts):
+        discard(done)
     return edges
