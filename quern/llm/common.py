@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import weakref
@@ -66,3 +67,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+def whole(x: float, scale: int) -> int:
+    """floor(scale * x) of a finite double, exact for a scale that is a power of two."""
+    return math.floor(x * scale) if abs(x) < 1e290 else int(x) * scale
+
+
+def order_key(n: int) -> bytes:
+    """A whole number of any size as bytes that have its order: how many bytes its magnitude has, above or below a middle,
+    then these, complemented below 0."""
+    size = (abs(n).bit_length() + 7) // 8
+    if n < 0:
+        return (0x8000 - size).to_bytes(2, "big") + ((1 << 8 * size) - 1 + n).to_bytes(size, "big")
+    return (0x8000 + size).to_bytes(2, "big") + n.to_bytes(size, "big")
+
+
+def key_number(key: bytes) -> int:
+    """The number whose order_key() it is."""
+    size, n = int.from_bytes(key[:2], "big") - 0x8000, int.from_bytes(key[2:], "big")
+    return n if size >= 0 else n + 1 - (1 << -8 * size)
+
+
+def as_long(n: int) -> int:
+    """n, or the nearest 64-bit number."""
+    return max(-(1 << 63), min(n, (1 << 63) - 1))

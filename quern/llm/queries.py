@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dedup, piece_counts, pitman_yor, quality, secrets, sharding, token_store, topk
+from . import decontaminate, hard_negatives, mixing, multi_index, near_dedup, piece_counts, pitman_yor, quality, secrets, sharding, token_store, topk, turn_repair
 
 #: A mixture over domain, language and source; what isn't named weighs 1.
 LEVELS = {
@@ -74,7 +74,23 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_shards, op3_contamination, op4_quality, op5_secrets, op6_tokens, op7_language_model, op8_piece_counts, op9_mixture, op10_top_k)}
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return turn_repair.repair_report(turn_repair.damaged(c), c)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh row are moved on by one first, so that some are wrong."""
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.hard_negatives(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_shards, op3_contamination, op4_quality, op5_secrets, op6_tokens, op7_language_model, op8_piece_counts, op9_mixture, op10_top_k, op11_turn_repair, op12_hard_negatives, op13_embedding_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_contamination": """
@@ -114,5 +130,24 @@ pairs as (select a.vec_id as query_id, b.vec_id, list_sum([x[1] * x[2] for x in
   from q a join q b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 50 = 0),
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
 select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from ranked where rank <= 5
+""",
+    "op12_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [cast(floor(cast(x as double) * 256) as bigint) for x in embedding] as q from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+scores as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_sum([x[1] * x[2] for x in list_zip(a.q, b.q)]) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 50 = 0),
+pos as (select anchor_id, vec_id as positive_id, score as positive_score from scores where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over w as integer) as rank, s.vec_id as negative_id, positive_score, s.score as negative_score
+from pos p join scores s on s.anchor_id = p.anchor_id and not s.same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score
+window w as (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) qualify row_number() over w <= 3
+""",
+    "op13_embedding_dedup": """
+with recursive v as (select vec_id, label, [cast(x as double) for x in embedding] as e from embeddings where embedding is not null and label is not null and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+n as (select vec_id, label, e, sqrt(list_sum([x * x for x in e])) as norm from v where len([x for x in e if x <> 0]) > 0),
+links as (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id and a.label = b.label and len(a.e) = len(b.e)
+  where list_sum([x[1] * x[2] for x in list_zip(a.e, b.e)]) / (a.norm * b.norm) >= 0.98),
+reach as (select a as x, b as y from links union select reach.x, links.b from reach join links on reach.y = links.a)
+select e.vec_id, coalesce((select count(*) from links where a = e.vec_id), 0) as n_links, least(e.vec_id, coalesce((select min(y) from reach where x = e.vec_id), e.vec_id)) as component_id,
+  least(e.vec_id, coalesce((select min(y) from reach where x = e.vec_id), e.vec_id)) = e.vec_id as kept from embeddings e
 """,
 }
