@@ -118,10 +118,16 @@ def snippet(content: Column, start: Column, end: Column) -> Column:
     return F.when((start >= 1) & (start <= F.size(lines)), F.concat(text, F.when(last < F.size(lines), "\n").otherwise("")))
 
 
-def last_json_field(text: Column, field: str) -> Column:
-    """A string field of the last flat JSON object in a text; empty if there is none."""
+def last_json_field(text: Column, field: str, default: str = "") -> Column:
+    """A string field of a text that is a JSON object or ends with one: of the whole text, else of what begins with the
+    last brace from which on the rest is an object that has the field. If words follow, of the last flat object in it; else
+    the default."""
+    said = lambda t: F.nullif(F.try_variant_get(F.try_parse_json(t), f"$.{field}", "string"), F.lit(""))
+    parts = F.split(text, r"\{")
+    rest = lambda i: F.concat(F.lit("{"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "{"))
+    ends = F.when(F.size(parts) > 1, F.aggregate(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), F.lit(None).cast("string"), lambda s, i: F.when(s.isNotNull(), s).otherwise(said(rest(i)))))
     objects = F.regexp_extract_all(text, F.lit(r"\{[^{}]*\}"), F.lit(0))
-    return F.coalesce(F.get_json_object(F.try_element_at(objects, F.lit(-1)), f"$.{field}"), F.lit(""))
+    return F.coalesce(said(text), ends, F.nullif(F.get_json_object(F.try_element_at(objects, F.lit(-1)), f"$.{field}"), F.lit("")), F.lit(default))
 
 
 def truncate_bytes(text: Column, size: int) -> Column:

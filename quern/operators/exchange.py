@@ -134,8 +134,8 @@ def csv_line(columns: list[str]) -> Column:
 
 
 def run_name(path: Column) -> Column:
-    """A name for files: runs of what isn't a letter, a digit, a dot, a dash or a low line become one dash."""
-    return F.regexp_replace(F.regexp_replace(path, "[^A-Za-z0-9._-]+", "-"), "^-+|-+$", "")
+    """A name for files and folders: each slash, backslash, colon and space becomes a dash, one for one."""
+    return F.translate(path, "/\\: ", "----")
 
 
 def few_shot(examples: DataFrame, key: str, order: str) -> DataFrame:

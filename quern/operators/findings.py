@@ -13,43 +13,49 @@ from ..functions.text import normalize_path
 TIER_RANK = {"instant": 1, "fast": 2, "comprehensive": 3}
 
 
-def tier_dedup(findings: DataFrame) -> DataFrame:
-    """Of findings with the same rule, uri and line the one of the highest tier, then the first; those
+def tier_dedup(findings: DataFrame, key: str = "run_id") -> DataFrame:
+    """Of findings of a run with the same rule, uri and line the one of the highest tier, then the first; those
     without a location go. A missing tier is instant."""
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TIER_RANK.items() for x in kv]), F.coalesce("tier", F.lit("instant"))), F.lit(0))
-    best = Window.partitionBy("rule_id", "uri", "start_line").orderBy(rank.desc(), "ord")
+    best = Window.partitionBy(*[key] * (key in findings.columns), "rule_id", "uri", "start_line").orderBy(rank.desc(), "ord")
     return findings.where("uri is not null").withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
 
 
 def _keep_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ord of the findings to keep of sorted ones; only the best so far of one rule and uri is held."""
-    key = best = None
+    """run and ord of the findings to keep of sorted ones; only the best so far of one run, rule and uri is held."""
+    group = best = None
     for batch in batches:
         kept = []
-        for rule, uri, no, start, end, confidence in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for run, rule, uri, no, start, end, confidence in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             sure = (confidence != confidence, confidence)  # noqa: PLR0124 (NaN is above all)
-            if best is None or key != (rule, uri):
+            if best is None or group != (run, rule, uri):
                 if best is not None:
-                    kept.append(best[0])
-                key, best = (rule, uri), (no, start, end, sure)
+                    kept.append((group[0], best[0]))
+                group, best = (run, rule, uri), (no, start, end, sure)
             elif None not in (start, end, best[1], best[2]) and start <= best[2] and best[1] <= end:
                 if sure > best[3]:
                     best = (no, start, end, sure)
             else:
-                kept.append(no)
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], ["ord"])
+                kept.append((run, no))
+        yield _kept(kept, batch.column(0).type)
     if best is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([best[0]], pa.int64())], ["ord"])
+        yield _kept([(group[0], best[0])], batch.column(0).type)
 
 
-def overlap_dedup(findings: DataFrame) -> DataFrame:
-    """Per rule and uri, in order: a finding whose lines overlap the best so far replaces it if its
+def _kept(rows: list, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int64())], ["k_run", "k_ord"])
+
+
+def overlap_dedup(findings: DataFrame, key: str = "run_id") -> DataFrame:
+    """Per run, rule and uri, in order: a finding whose lines overlap the best so far replaces it if its
     confidence is higher and goes otherwise; one that doesn't overlap stays and is not compared again.
-    Findings without a location all stay. The sorted rows of a rule and uri are streamed, not gathered."""
-    order = ["rule_id", "uri", "ord", "start_line", "end_line", "confidence"]
-    placed = findings.where("uri is not null").select("rule_id", "uri", F.col("ord").cast("long").alias("ord"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"))
-    kept = placed.repartition("rule_id", "uri").sortWithinPartitions(*order).mapInArrow(_keep_best, "ord long")
-    return findings.join(kept, "ord", "left_semi").unionByName(findings.where("uri is null"))
+    Findings without a location all stay. ord is a finding's place within its run; findings without the key are one run.
+    The sorted rows of a run, rule and uri are streamed, not gathered."""
+    run = F.col(key) if key in findings.columns else F.lit("")
+    order = ["run", "rule_id", "uri", "ord", "start_line", "end_line", "confidence"]
+    placed = findings.where("uri is not null").select(run.alias("run"), "rule_id", "uri", F.col("ord").cast("long").alias("ord"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"))
+    kept = placed.repartition("run", "rule_id", "uri").sortWithinPartitions(*order).mapInArrow(_keep_best, f"k_run {placed.schema['run'].dataType.simpleString()}, k_ord long")
+    return findings.where("uri is not null").join(kept, run.eqNullSafe(F.col("k_run")) & (F.col("ord") == F.col("k_ord")), "left_semi").unionByName(findings.where("uri is null"))
 
 
 def baseline_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -109,13 +115,17 @@ def relevant(findings: DataFrame, verdicts: DataFrame, key: str = "run_id") -> D
     return findings.where("suppressed_by is null").join(verdicts.select(key, "decision"), key).where(shown)
 
 
-def enclosing(findings: DataFrame, functions: DataFrame, width: int = 64) -> DataFrame:
-    """findings with the name of the innermost function around their line: the narrowest span, then the first.
+def enclosing(findings: DataFrame, functions: DataFrame, width: int = 64, key: str = "run_id") -> DataFrame:
+    """findings with the name of the innermost function around their line, and its class if functions have one: the
+    narrowest span, then the first. Functions that carry the key are those of that run only.
 
     Functions are dealt into bins of lines, so that the interval condition is an equi-join."""
-    f = functions.select(F.col("uri").alias("f_uri"), "name", "fn_ord", F.col("start_line").alias("f_start"), F.col("end_line").alias("f_end"), F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width))).alias("bin"))
+    run = F.col(key) if key in findings.columns else F.lit("")
+    per_run, named = {key} <= {*functions.columns} & {*findings.columns}, [c for c in ("class",) if c in functions.columns]
+    f = functions.select(*[F.col(key).alias("f_run")] * per_run, F.col("uri").alias("f_uri"), "name", *named, "fn_ord", F.col("start_line").alias("f_start"), F.col("end_line").alias("f_end"), F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width))).alias("bin"))
     on = (F.col("uri") == F.col("f_uri")) & (F.floor(F.col("start_line") / width) == F.col("bin")) & F.col("start_line").between(F.col("f_start"), F.col("f_end"))
-    best = findings.join(f, on).groupBy("ord").agg(F.min(F.struct((F.col("f_end") - F.col("f_start")).alias("span"), "fn_ord", "name"))["name"].alias("function"))
-    return findings.join(best, "ord", "left")
-
-
+    on = on & F.col(key).eqNullSafe(F.col("f_run")) if per_run else on
+    inner = F.min(F.struct((F.col("f_end") - F.col("f_start")).alias("span"), "fn_ord", "name", *named))
+    best = findings.join(f, on).groupBy(run.alias("b_run"), F.col("ord").alias("b_ord")).agg(inner.alias("b"))
+    out = findings.join(best, run.eqNullSafe(F.col("b_run")) & (F.col("ord") == F.col("b_ord")), "left")
+    return out.withColumns({"function": F.col("b.name")} | {c: F.col(f"b.{c}") for c in named}).drop("b", "b_run", "b_ord")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import language_matches
@@ -67,24 +67,46 @@ def to_java(pattern: str) -> str:
     return "".join(out)
 
 
+#: Matches that a step of the running count of lines covers
+STEP = 256
+
+
+def _lines(parts: Column) -> Column:
+    """The line of each match of parts (gap before it, match), from 1: line ends in all that stands before. Counted in
+    blocks of STEP, so that no array is copied once a match."""
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    last = lambda a: F.element_at(a, -1)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / STEP).cast("int")), lambda j: F.slice(parts, j * STEP + 1, STEP))
+    starts = F.aggregate(blocks, F.array(F.lit(1)), lambda s, b: F.array_append(s, last(s) + F.aggregate(b, F.lit(0), lambda n, p: n + breaks(p.gap) + breaks(p.match))))
+
+    def inside(block: Column, j: Column) -> Column:
+        # line ends up to each match's end; its own ones come off again
+        ends = F.aggregate(block, F.array(F.get(starts, j)), lambda s, p: F.array_append(s, last(s) + breaks(p.gap) + breaks(p.match)))
+        return F.zip_with(F.slice(ends, 2, STEP), block, lambda e, p: e - breaks(p.match))
+
+    return F.flatten(F.transform(blocks, inside))
+
+
 def regex_scan(artifacts: DataFrame, rules: list[Rule], tier: str = "instant") -> DataFrame:
-    """A finding for each non-overlapping match of each rule that applies to an artifact's language.
+    """A finding for each non-overlapping match of each rule with a pattern that applies to an artifact's language; no
+    such rules, no findings.
 
-    artifacts: (path, content). The line is that of the match's first character. The rules are part of the
-    plan, so nothing is joined: each artifact unfolds into its rules, and those into their matches."""
+    artifacts: (path, content). The line is that of the match's first character. The rules are part of the plan and
+    lines are counted within a row, so nothing is joined or shuffled: each artifact unfolds into its rules, and those
+    into their matches."""
+    rules = [(i, r) for i, r in enumerate(rules) if r.pattern]
     content = F.col("content")
-    each = [
-        F.when(
-            language_matches(F.col("path"), r.languages) & content.rlike(to_java(r.pattern)),
-            F.struct(F.lit(i).alias("rule_ord"), F.lit(r.id).alias("rule_id"), F.lit(r.level).alias("level"), F.lit(r.message).alias("message"), F.lit(r.confidence).alias("confidence"), F.arrays_zip(F.split(content, to_java(r.pattern), -1).alias("gap"), F.regexp_extract_all(content, F.lit(to_java(r.pattern)), F.lit(0)).alias("match")).alias("parts")),
-        )
-        for i, r in enumerate(rules)
-        if r.pattern
-    ]
-    # artifacts that share a path are told apart by a number
-    rows = artifacts.select(F.monotonically_increasing_id().alias("no"), "path", F.explode(F.array_compact(F.array(*each))).alias("r"))
-    rows = rows.select("no", "path", "r.rule_ord", "r.rule_id", "r.level", "r.message", "r.confidence", F.posexplode("r.parts").alias("match_ord", "p")).where("p.match is not null")
-    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    before = Window.partitionBy("no", "rule_ord").orderBy("match_ord")
-    line = 1 + F.sum(breaks("p.gap") + breaks("p.match")).over(before) - breaks("p.match")
-    return rows.select(F.col("path").alias("uri"), "rule_ord", "match_ord", "rule_id", "level", "message", "confidence", line.cast("int").alias("start_line"), F.col("p.match").alias("match"), F.lit(tier).alias("tier"))
+
+    def found(i: int, r: Rule) -> Column:
+        java = to_java(r.pattern)
+        parts = lambda m: F.filter(F.arrays_zip(F.split(content, java, -1).alias("gap"), m.alias("match")), lambda p: p.match.isNotNull())
+        row = lambda m: F.struct(F.lit(i).alias("rule_ord"), F.lit(r.id).alias("rule_id"), F.lit(r.level).alias("level"), F.lit(r.message).alias("message"), F.lit(r.confidence).alias("confidence"), parts(m).alias("parts"))
+        # the matches are looked for once, and what stands between them only where there are any
+        once = F.transform(F.array(F.regexp_extract_all(content, F.lit(java), F.lit(0))), lambda m: F.when(F.size(m) > 0, row(m)))
+        return F.when(language_matches(F.col("path"), r.languages), F.get(once, F.lit(0)))
+
+    none = "array<struct<rule_ord:int,rule_id:string,level:string,message:string,confidence:double,parts:array<struct<gap:string,match:string>>>>"
+    each = F.array_compact(F.array(*[found(i, r) for i, r in rules])) if rules else F.array().cast(none)
+    rows = artifacts.select("path", F.explode(each).alias("r"))
+    rows = rows.select("path", "r.*").withColumn("line", _lines(F.col("parts")))
+    return rows.select(F.col("path").alias("uri"), "rule_ord", "rule_id", "level", "message", "confidence", F.posexplode(F.arrays_zip("line", F.col("parts.match").alias("match"))).alias("match_ord", "p")).select("uri", "rule_ord", "match_ord", "rule_id", "level", "message", "confidence", F.col("p.line").alias("start_line"), F.col("p.match").alias("match"), F.lit(tier).alias("tier"))

@@ -42,10 +42,11 @@ def diagnostics(findings: DataFrame, tool: str = "quern") -> DataFrame:
 
 def code_actions(asked: DataFrame, findings: DataFrame) -> DataFrame:
     """asked (rule_id, start_line, fixed, ...): the first finding of each one's rule and line; an edit if it is fixed, else
-    advice."""
-    first = findings.groupBy("rule_id", "start_line").agg(F.min(F.struct("ord", "end_line")).alias("f"))
+    advice. With a run_id, of that run's findings."""
+    keys = ["run_id"] * ("run_id" in asked.columns) + ["rule_id", "start_line"]
+    first = findings.groupBy(*keys).agg(F.min(F.struct("ord", "end_line")).alias("f"))
     kind = F.when(F.col("fixed"), "edit").otherwise("advice")
-    return asked.join(first, ["rule_id", "start_line"]).select(*asked.columns, "f.ord", kind.alias("kind"), F.col("f.end_line").alias("edit_end"))
+    return asked.join(first, keys).select(*asked.columns, "f.ord", kind.alias("kind"), F.col("f.end_line").alias("edit_end"))
 
 
 def severity_table(findings: DataFrame) -> DataFrame:

@@ -217,7 +217,7 @@ def metrics_csv(t):
     return e.select("ord", X.csv_line(["ord", "file", "error"]).alias("line"))
 
 
-@query("select c_custkey, concat('git-', regexp_replace(c_name, '[^A-Za-z0-9._-]+', '-', 'g'), '-x') as name from {customer}")
+@query("select c_custkey, concat('--git@#', translate(c_name, ' ', '-'), '--x-') as name from {customer}")
 def run_name(t):
     return t("customer").select("c_custkey", X.run_name(F.concat(F.lit("//git@#"), "c_name", F.lit(" /x:"))).alias("name"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -35,6 +35,10 @@ def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
 
+def one_run(findings: DataFrame) -> DataFrame:
+    return findings.drop("run_id")
+
+
 def artifacts(t) -> DataFrame:
     """One file a user: its lines in the order of their events."""
     ending = F.element_at(F.array(*map(F.lit, (".go", ".py", ".ts", ".txt"))), (F.col("user_id") % 4 + 1).cast("int"))
@@ -92,7 +96,7 @@ def normalize_path(t):
 
 @query("select ord, uri, rule_id, start_line from {findings} where uri is not null qualify row_number() over (partition by rule_id, uri, start_line order by case coalesce(tier, 'instant') when 'comprehensive' then 3 when 'fast' then 2 when 'instant' then 1 else 0 end desc, ord) = 1")
 def tier_dedup(t):
-    return A.tier_dedup(t("findings")).select("ord", "uri", "rule_id", "start_line")
+    return A.tier_dedup(one_run(t("findings"))).select("ord", "uri", "rule_id", "start_line")
 
 
 @query("""
@@ -111,7 +115,32 @@ select extra as ord from fold where extra is not null
 union all select b from (select *, max(rn) over (partition by rule_id, uri) as top from fold) where rn = top
 union all select ord from {findings} where uri is null""")
 def overlap_dedup(t):
-    return A.overlap_dedup(t("findings")).select("ord")
+    return A.overlap_dedup(one_run(t("findings"))).select("ord")
+
+
+@query("select run_id, ord, uri, rule_id, start_line from (select *, l as run_id from (select * exclude (run_id), concat('run', cast(ord % 3 as varchar)) as l from {findings})) where uri is not null qualify row_number() over (partition by run_id, rule_id, uri, start_line order by case coalesce(tier, 'instant') when 'comprehensive' then 3 when 'fast' then 2 when 'instant' then 1 else 0 end desc, ord) = 1")
+def tier_dedup_by_run(t):
+    f = t("findings").withColumn("run_id", F.expr("concat('run', ord % 3)"))
+    return A.tier_dedup(f).select("run_id", "ord", "uri", "rule_id", "start_line")
+
+
+@query("""
+with recursive g as (select * replace (concat('run', cast(ord % 3 as varchar)) as run_id), row_number() over (partition by ord % 3 order by ord) as place from {findings}),
+f as materialized (select *, coalesce(confidence, 0) as c, row_number() over (partition by run_id, rule_id, uri order by place) as rn from g where uri is not null),
+fold as (
+  select run_id, rule_id, uri, rn, place as b, start_line as s, end_line as e, c, cast(null as bigint) as extra from f where rn = 1
+  union all
+  select f.run_id, f.rule_id, f.uri, f.rn, case when hit and f.c > fold.c then f.place else fold.b end, case when hit and f.c > fold.c then f.start_line else fold.s end,
+    case when hit and f.c > fold.c then f.end_line else fold.e end, case when hit and f.c > fold.c then f.c else fold.c end, case when hit then null else f.place end
+  from fold join (select * from f) f on f.run_id = fold.run_id and f.rule_id = fold.rule_id and f.uri = fold.uri and f.rn = fold.rn + 1, lateral (select f.start_line <= fold.e and fold.s <= f.end_line as hit))
+select run_id, extra as place from fold where extra is not null
+union all select run_id, b from (select *, max(rn) over (partition by run_id, rule_id, uri) as top from fold) where rn = top
+union all select run_id, place from g where uri is null""")
+def overlap_dedup_by_run(t):
+    """Runs that number their findings anew, as read_logs() does."""
+    f = t("findings").withColumn("run_id", F.expr("concat('run', ord % 3)"))
+    f = f.withColumn("ord", F.row_number().over(Window.partitionBy("run_id").orderBy("ord")))
+    return A.overlap_dedup(f).select("run_id", F.col("ord").cast("long").alias("place"))
 
 
 FP = "case when snippet is not null and trim(snippet) <> '' then substr(sha256(concat(rule_id, chr(10), array_to_string([x for x in [trim(y) for y in string_split(snippet, chr(10))] if x <> ''], chr(10)))), 1, 32) end"
