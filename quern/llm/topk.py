@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import as_long, discard, order_key, whole, written
 
 BLOCK_ROWS = 16_384
 #: Queries that a task asks of one block: about as many bytes as the block itself
@@ -25,34 +25,56 @@ QUERY_ROWS = 4096
 MIN_PAIRS = 64
 
 
+#: Quantised components below this stand in 64 bits with room for sums
+NARROW = 1 << 24
+
+
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, dim, q): floor(scale * component); without rows that hold a null or non-finite component, or one whose
-    quantised value needs more than 32 bits: their sums could leave 64 bits."""
+    """(vec_id, dim, x, wide): rows without null or non-finite components, as doubles; wide if a quantised component reaches
+    NARROW. floor(scale * component) is taken in whole numbers of any size, where it is used."""
     x = F.col("embedding")
-    fine = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float(1 << 31) / scale))
-    ints = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))
-    return vectors.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.size(x).alias("dim"), ints.alias("q"))
+    fine = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
+    # -0.0 and 0.0 are one number
+    doubles = F.transform(x, lambda v: v.cast("double") + F.lit(0.0))
+    rows = vectors.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.size(x).alias("dim"), doubles.alias("x"))
+    return rows.withColumn("wide", F.exists("x", lambda v: F.abs(v) >= float(NARROW) / scale))
+
 
+def _integers(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x): 64-bit integers if all are narrow, else Python's."""
+    if not len(x) or np.abs(x).max() < NARROW / scale:
+        return np.floor(x * scale).astype(np.int64)
+    return np.array([whole(v, scale) for v in x.ravel().tolist()], object).reshape(x.shape)
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _build(scale: int):
     """The slices of one block: for each bit and attribute, a bitmap of the rows in rising order of id."""
-    pdf = pdf.sort_values("vec_id", kind="stable")
-    x = np.stack(pdf["q"].to_numpy()).astype(np.int64)
-    low = x.min(axis=0)
-    x -= low
-    bits = max(1, int(x.max()).bit_length())
-    room = -len(x) % 64
-    slices = [np.packbits(np.pad((x >> b & 1).astype(np.uint8), ((0, room), (0, 0))), axis=0, bitorder="little").T.copy() for b in range(bits)]
-    return pd.DataFrame({"dim": [x.shape[1]], "block": [pdf["block"].iloc[0]], "n": [len(x)], "bits": [bits], "low": [low.tolist()], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "times": [pdf["times"].to_numpy(np.int64).tobytes()], "slices": [np.stack(slices).tobytes()]})
-
-
-def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """A row a block of about block_rows distinct quantised vectors: dim, block, n, bits, low, ids, times (how often each
-    is there), slices. Rows are dealt by a hash; repeated ones are counted before, so none makes a block hot."""
-    vectors = written(vectors.groupBy("vec_id", "dim", "q").agg(F.count("*").alias("times")), "vectors")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id", kind="stable")
+        x = _integers(np.stack(pdf["x"].to_numpy()), scale)
+        low = x.min(axis=0)
+        x = x - low
+        bits = max(1, int(x.max()).bit_length())
+        room = -len(x) % 64
+        slices = [np.packbits(np.pad((x >> b & 1).astype(np.uint8), ((0, room), (0, 0))), axis=0, bitorder="little").T.copy() for b in range(bits)]
+        return pd.DataFrame({"dim": [x.shape[1]], "block": [pdf["block"].iloc[0]], "wide": [pdf["wide"].iloc[0]], "n": [len(x)], "bits": [bits], "low": [[str(v) for v in low.tolist()]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "times": [pdf["times"].to_numpy(np.int64).tobytes()], "slices": [np.stack(slices).tobytes()]})
+
+    return run
+
+
+def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS, scale: int = 256) -> DataFrame:
+    """A row a block of about block_rows distinct vectors: dim, block, wide, n, bits, low, ids, times (how often each is
+    there), slices. Rows are dealt by a hash; repeated ones are counted before, so none makes a block hot. Wide vectors
+    have blocks of their own, of a hundredth of the rows, as they have many slices."""
+    vectors = written(vectors.groupBy("vec_id", "dim", "x", "wide").agg(F.count("*").alias("times")), "vectors")
     blocks = max(1, math.ceil(vectors.count() / block_rows))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "q"), F.lit(blocks)).cast("int"))
-    return written(dealt.groupBy("dim", "block").applyInPandas(_build, "dim int, block int, n int, bits int, low array<long>, ids binary, times binary, slices binary"), "bit-slices")
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int"))
+    dealt = dealt.withColumn("part", F.when(F.col("wide"), F.pmod(F.xxhash64("x"), F.lit(100))).otherwise(0))
+    index = dealt.groupBy("dim", "block", "wide", "part").applyInPandas(_build(scale), "dim int, block int, wide boolean, n int, bits int, low array<string>, ids binary, times binary, slices binary")
+    index = written(index, "bit-slices")
+    discard(vectors)
+    return index
 
 
 def weighted_sums(slices: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
@@ -60,7 +82,7 @@ def weighted_sums(slices: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
     words); weights: not negative."""
     waiting: dict[int, list[np.ndarray]] = {}
     for j in range(int(weights.max()).bit_length() if len(weights) else 0):
-        chosen = np.flatnonzero(weights >> j & 1)
+        chosen = np.flatnonzero((weights >> j & 1).astype(bool))
         for b in range(len(slices) if len(chosen) else 0):
             waiting.setdefault(j + b, []).append(slices[b, chosen])
     out, level = [], 0
@@ -103,7 +125,7 @@ class _Block:
     """One block of the index, unpacked."""
 
     def __init__(self, row: dict):
-        self.bits, self.low = row["bits"], np.array(row["low"], np.int64)
+        self.bits, self.low = row["bits"], np.array([int(v) for v in row["low"]], object)
         self.ids, self.times = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["times"], np.int64)
         self.slices = np.frombuffer(row["slices"], np.uint64).reshape(self.bits, row["dim"], -1)
         self.full = self._bitmap(0, row["n"])
@@ -116,9 +138,9 @@ class _Block:
     def best(self, vec_id: int, q: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
         """(vec_id, times, score) of the k best distinct vectors but those with the query's own id."""
         # a negative weight takes the complement of its attribute, which the constant makes good
-        below = q < 0
+        below = (q < 0).astype(bool)
         sums = weighted_sums(np.where(below[None, :, None], ~self.slices, self.slices), np.abs(q))
-        constant = int(q @ self.low) + int(q[below].sum()) * ((1 << self.bits) - 1)
+        constant = int(q.astype(object) @ self.low) + int(q[below].sum()) * ((1 << self.bits) - 1)
         rows = self.full
         a, b = np.searchsorted(self.ids, vec_id), np.searchsorted(self.ids, vec_id, "right")
         if a < b:
@@ -128,22 +150,29 @@ class _Block:
             yield int(self.ids[at]), int(self.times[at]), total + constant
 
 
-def _search(k: int):
+def _search(k: int, scale: int):
     """Of rows in order of pair, each pair a block of the index and then its queries, each query's best of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pair = None
+        pair, blocks, began = None, [], False
         for batch in batches:
-            out: list[list[int]] = [[], [], [], [], []]
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("pair", "dim", "n", "bits", "low", "ids", "times", "slices", "no", "vec_id", "q")}
-                if row["slices"] is not None:
-                    block, pair = _Block(row), row["pair"]
-                elif row["pair"] == pair:  # queries of a length that no vector of the block has meet no block
-                    for found in block.best(row["vec_id"], np.array(row["q"], np.int64), k):
-                        for c, v in zip(out, (row["no"], row["vec_id"], *found), strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["no", "query_id", "vec_id", "times", "score"])
+            out: list[list] = [[], [], [], [], [], []]
+            columns = {c: batch.column(c) for c in ("pair", "dim", "n", "bits", "low", "ids", "times", "slices")}
+            pairs, no, vec_id = (batch.column(c).to_pylist() for c in ("pair", "no", "vec_id"))
+            is_block, xs = (np.asarray(batch.column("slices").is_valid()), batch.column("x"))
+            for i, of in enumerate(pairs):
+                if is_block[i]:
+                    # a pair's blocks, of narrow and of wide vectors, come before its queries
+                    blocks, began = [*(blocks if of == pair and not began else []), _Block({c: v[i].as_py() for c, v in columns.items()})], False
+                    pair = of
+                elif of == pair:  # queries of a length that no vector of the block has meet no block
+                    began, q = True, _integers(np.asarray(xs[i].values), scale)
+                    for block in blocks:
+                        for vec, times, score in block.best(vec_id[i], q, k):
+                            for c, v in zip(out, (no[i], vec_id[i], vec, times, order_key(score), as_long(score)), strict=True):
+                                c.append(v)
+            kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], ["no", "query_id", "vec_id", "times", "key", "score"])
 
     return run
 
@@ -154,24 +183,28 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: int = 256,
     queries, vectors: (vec_id long, embedding array, ...). A query's own vec_id is no candidate of its; ties
     go to the smaller vec_id. Vectors that are null, empty, lack an id or hold null or non-finite components
     take no part; vectors of another length than the query's are not compared with it. A vector that is
-    repeated is a candidate each time; a repeated query is asked once. Vectors with a component of 2**31 / scale or more, or
-    of -2**31 / scale or less, take no part either.
+    repeated is a candidate each time; a repeated query is asked once. Every finite component counts, of any size: scores are
+    ranked exactly, and one that leaves 64 bits is given as the nearest 64-bit number.
     Fewer candidates give fewer rows; empty tables give none. Other columns are ignored.
 
     Each part of up to QUERY_ROWS queries meets each block of the index in a task's turn: the block comes first, the
-    queries after it one by one, so a task holds one block however many queries there are."""
-    index = build_index(quantised(vectors, scale), block_rows)
-    asked = written(quantised(queries, scale).distinct().withColumn("no", F.xxhash64("vec_id", "q")), "queries")
+    queries after it one by one, so a task holds one block however many queries there are. Work grows with queries times
+    blocks."""
+    index = build_index(quantised(vectors, scale), block_rows, scale)
+    asked = written(quantised(queries, scale).drop("wide").distinct().withColumn("no", F.xxhash64("vec_id", "x")), "queries")
     n, blocks = asked.count(), index.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0] + 1
     parts = max(1, math.ceil(n / QUERY_ROWS), min(math.ceil(n / 256), math.ceil(MIN_PAIRS / blocks)))
     pair = F.concat_ws(":", "dim", "block", "part").alias("pair")
     spread = lambda df, name, count: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     left = spread(index, "part", parts).select(pair, "dim", "n", "bits", "low", "ids", "times", "slices")
-    right = spread(asked.withColumn("part", F.pmod("no", F.lit(parts))), "block", blocks).select(pair, "no", "vec_id", "q")
+    right = spread(asked.withColumn("part", F.pmod("no", F.lit(parts))), "block", blocks).select(pair, "no", "vec_id", "x")
     rows = left.unionByName(right, allowMissingColumns=True).repartition(min(20_000, parts * blocks), "pair").sortWithinPartitions("pair", F.col("slices").isNull())
-    found = rows.mapInArrow(_search(k), "no long, query_id long, vec_id long, times long, score long")
-    by = Window.partitionBy("no", "query_id").orderBy(F.desc("score"), "vec_id")
+    found = rows.mapInArrow(_search(k, scale), "no long, query_id long, vec_id long, times long, key binary, score long")
+    by = Window.partitionBy("no", "query_id").orderBy(F.desc("key"), "vec_id")
     best = found.withColumn("at", F.row_number().over(by)).where(F.col("at") <= k)
     each = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("times"), F.lit(k)).cast("int"))))
     rank = F.row_number().over(Window.partitionBy("no", "query_id").orderBy("at", "copy"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    result = written(each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "best")
+    for done in (index, asked):
+        discard(done)
+    return result

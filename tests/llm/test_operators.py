@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, mixing, near_dedup, piece_counts, pitman_yor, quality, queries, secrets, sharding, token_store, topk
+from quern.llm import common, decontaminate, mixing, near_dedup, piece_counts, pitman_yor, quality, queries, secrets, sharding, token_store, topk
 
 from . import texts
 
@@ -604,14 +604,16 @@ def test_top_k_as_brute_force(spark):
     rng = np.random.default_rng(6)
     rows = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(300)]
     rows += [(300 + i, rows[50][1]) for i in range(12)] + [(400, None), (401, []), (402, [1.0] * 7 + [float("nan")]), (403, [1.0] * 7 + [float("inf")]), (404, [1.0] * 7 + [None]), (None, [9.0] * 8), (450, [1.0, 2.0]), (500, [-3.0] * 8)]
+    # components whose products leave 64 bits, and ones beyond 64 bits themselves
+    f32 = lambda x: float(np.float32(x))
+    rows += [(550, [f32(1e30)] * 8), (600, [f32(-9e6)] + [0.0] * 7), (601, [f32(8e6)] * 8), (602, [f32(-3e38), f32(3e38)] * 4), (603, [f32(2e6 + i) for i in range(8)])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for i, v in ok:
         if i % 50 == 0:
             best = sorted((-sum(a * b for a, b in zip(v, u)), j) for j, u in ok if j != i and len(u) == len(v))[:5]
-            want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
-    df = df.unionByName(spark.createDataFrame([(550, [1e30] * 8, "x"), (600, [-9e6] + [0.0] * 7, "x")], df.schema))
+            want += [(i, r, j, common.as_long(-s)) for r, (s, j) in enumerate(best, 1)]
     for block in (64, 16_384):
         assert got(topk.top_k(df.where("vec_id % 50 = 0"), df, block_rows=block), "query_id", "rank", "vec_id", "score") == sorted(want)
 
