@@ -2,16 +2,14 @@
 
 Each preceding word (and the text's start) has a restaurant of its own; all of them share one parent, the restaurant
 of words, whose customers are their tables. The parent's base has no atoms, so a word sits at one table there and
-what is left of its mass goes to unknown words. Tables of the context restaurants are sampled by Gibbs moves: a
-customer is taken away, its table closes if it sat alone, and it is seated anew given all others of its pair, at a
-table in proportion to (size - d) or at a new one in proportion to (theta + d * T) * parent's probability. Discounts and
-strengths of both levels are drawn from a grid by their likelihood under the seating, once a sweep. Over the retained
-sweeps the predictive probabilities are averaged.
+what is left of its mass goes to unknown words. Tables of the context restaurants are sampled by Gibbs: a pair's
+number of tables is drawn from its exact law given the tables of all other pairs, how its customers sit at them being
+summed over (generalised Stirling numbers). Discounts and strengths of both levels are drawn from a grid by their
+likelihood under the seating, once a sweep. Over the retained sweeps the predictive probabilities are averaged.
 
-A sweep moves min(n, 4 * sqrt(n)) customers of a pair, drawn with repetition: each move keeps the posterior, so
-how many there are concerns mixing only, and a pair of a billion customers costs no task more than another.
-Pairs are reseated side by side; of other pairs' moves the totals T and k are known as of the sweep's start. A pair
-seen once has one customer at one table and needs no moves.
+A draw replaces all of a pair's tables at once, whatever its number of customers, so a frequent pair is as near to the
+posterior after a sweep as a rare one. Pairs are reseated side by side; of other pairs' draws the totals T and k are known
+as of the sweep's start. A pair seen once has one customer at one table and needs no draw.
 
 Layout: texts become blocks of two million tokens or more, each a row with its distinct words and the places of its
 tokens among them. Blocks ask buckets of keys: a message holds the distinct keys of one block that fall into one
@@ -21,6 +19,7 @@ the same messages, and blocks are stored bucketed by their number, so they aren'
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 from collections.abc import Iterator
@@ -329,56 +328,137 @@ def openings(tables: np.ndarray, customers: np.ndarray) -> np.ndarray:
     return out
 
 
-def reseat(n: np.ndarray, sizes: np.ndarray, tables: np.ndarray, total: np.ndarray, k: np.ndarray, law: Law, rng: np.random.Generator):
-    """Gibbs moves of each pair's customers. n: customers of each pair; sizes: of its tables, end to end; tables: their
-    numbers; total: tables of its context; k: tables of its word in all contexts. Returns new (sizes, tables)."""
-    visits = np.minimum(n, np.ceil(4 * np.sqrt(n)).astype(np.int64))
-    order = np.argsort(-visits, kind="stable")  # pairs that are still visited are always the first ones
-    starts = np.cumsum(tables) - tables
-    n, was, visits, total, k = n[order], tables[order], visits[order], total[order].astype(float), k[order].astype(float)
-    room = was + visits
-    end = np.cumsum(room)
-    begin = end - room
-    slots = np.zeros(int(end[-1]) if len(end) else 0, np.int64)
-    inner = np.arange(int(was.sum())) - np.repeat(np.cumsum(was) - was, was)
-    slots[np.repeat(begin, was) + inner] = sizes[np.repeat(starts[order], was) + inner]
-    t, used = was.copy(), was.copy()
-    for turn in range(int(visits[0]) if len(visits) else 0):
-        m = int(np.searchsorted(-visits, -turn, "left"))
-        s, a = slots[: end[m - 1]], begin[:m]
-        before = np.cumsum(s)
-        leaves = np.searchsorted(before, before[a] - s[a] + (rng.random(m) * n[:m]).astype(np.int64), "right")
-        s[leaves] -= 1
-        closed = s[leaves] == 0
-        t[:m] -= closed
-        more = t[:m] - was[:m]
-        p = (k[:m] + more - law.d0) / (law.theta0 + law.customers + more)
-        opens, joins = (law.theta + law.d * (total[:m] + more)) * p, n[:m] - 1 - law.d * t[:m]
-        x = rng.random(m) * (opens + joins)
-        weight = np.where(s > 0, s - law.d, 0.0)
-        upto = np.cumsum(weight)
-        at = np.searchsorted(upto, upto[a] - weight[a] + x, "right")
-        at = np.minimum(np.maximum(at, a), end[:m] - 1)
-        new = x >= joins
-        at[new] = np.where(closed, leaves, a + used[:m])[new]
-        used[:m] += new & ~closed
-        t[:m] += s[at] == 0
-        s[at] += 1
-    seated = slots[slots > 0]
-    back = np.argsort(order)
-    ends = np.cumsum(t)
-    inner = np.arange(int(t.sum())) - np.repeat(np.cumsum(t[back]) - t[back], t[back])
-    return seated[np.repeat((ends - t)[back], t[back]) + inner], t[back]
-
-
-SEATS = "at long, u binary, w binary, n binary, tables binary, sizes binary, kept binary, fits array<double>"
+#: Pairs of up to this many customers have their weights by recursion, others by an integral
+RECURSION = 512
+
+
+@functools.lru_cache(maxsize=32)
+def _recursion(d: float, top: int) -> np.ndarray:
+    """[n, t]: log of the number of ways, weighted by (1 - d)(2 - d)... at each table, to seat n customers at t tables."""
+    out = np.full((top + 1, top + 1), -np.inf)
+    out[1, 1] = 0
+    for n in range(1, top):
+        t = np.arange(1, n + 2)
+        with np.errstate(divide="ignore"):
+            out[n + 1, 1 : n + 2] = np.logaddexp(out[n, : n + 1], np.log(np.maximum(n - d * t, 0)) + out[n, 1 : n + 2])
+    return out
+
+
+def _along_the_cut(n: int, t: np.ndarray, d: float, nodes: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """The coefficient of x^n in (1 - (1 - x)^d)^t, by an integral along the cut from 1 on, and how much the sum may be off."""
+    u = np.linspace(math.log(1e-9 / n), math.log(1e3), nodes)
+    y = np.exp(u)
+    e = np.exp(t[:, None] * np.log1p(-(y**d) * np.exp(-1j * math.pi * d)) - (n + 1) * np.log1p(y) + u).imag * ((u[1] - u[0]) / math.pi)
+    # what cancels out, and what lies below the first node
+    return e.sum(axis=1), 1e-12 * np.abs(e).sum(axis=1) + 10 * np.abs(e[:, 0])
+
+
+def _at_the_saddle(n: int, t: np.ndarray, d: float) -> np.ndarray:
+    """The log of the same coefficient by its saddle point, for many tables, where the integral's parts cancel out."""
+    low, high = np.full(t.shape, -300.0), np.zeros(t.shape)
+    for _ in range(70):
+        mid = (low + high) / 2
+        with np.errstate(divide="ignore"):
+            above = np.log1p(-np.exp(mid)) + math.log(d) + (d - 1) * mid - np.log(-np.expm1(d * mid)) > np.log(n / t)
+        low, high = np.where(above, mid, low), np.where(above, high, mid)
+    z = np.exp(low)
+    x, f, f1, f2 = 1 - z, -np.expm1(d * low), d * z ** (d - 1), d * (1 - d) * z ** (d - 2)
+    spread = t * ((x * f1 + x * x * f2) / f - (x * f1 / f) ** 2)
+    return t * np.log(f) - n * np.log1p(-z) - 0.5 * np.log(2 * math.pi * np.maximum(spread, 1e-300))
+
+
+def seatings(n: int, t: np.ndarray, d: float) -> np.ndarray:
+    """log of the weighted number of ways to seat n customers at t tables, as by _recursion(), for any n."""
+    if n <= RECURSION:
+        return _recursion(float(d), RECURSION)[n, t]
+    t = np.asarray(t, float)
+    found, off = _along_the_cut(n, t, d)
+    sure, alone = found > 1e3 * off, t == n
+    log = np.where(alone, n * math.log(d), np.log(np.where(sure, np.maximum(found, 1e-300), 1.0)))
+    rest = ~sure & ~alone
+    if rest.any():
+        log[rest] = _at_the_saddle(n, t[rest], d)
+    return log + math.lgamma(n + 1) - log_gamma(t + 1) - t * math.log(d)
+
+
+def _weights(n: int, t: np.ndarray, total: np.ndarray, k: np.ndarray, customers: np.ndarray, law: Law) -> np.ndarray:
+    """log of the probability, but for a constant, of t tables for a pair of n customers, whose context has `total` tables
+    for other words, whose word k in other contexts, and whose parent so many other customers."""
+    gain = lambda start, steps: log_gamma(start + steps) - log_gamma(start)
+    ratio = law.theta / law.d + total
+    # a word without other tables has its first one from the base, which is the same for every t
+    first = np.maximum(k, 1) - law.d0
+    return seatings(n, t, law.d) + t * math.log(law.d) + gain(ratio, t) + log_gamma(k + t - law.d0) - log_gamma(first) - gain(law.theta0 + customers, t)
+
+
+def _pick(log: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A column of each row, by the rows' log weights."""
+    p = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
+    return (p < (rng.random(len(p)) * p[:, -1])[:, None]).sum(axis=1)
+
+
+def reseat(n: np.ndarray, tables: np.ndarray, total: np.ndarray, k: np.ndarray, law: Law, rng: np.random.Generator) -> np.ndarray:
+    """Gibbs draw of each pair's number of tables from its law given all others. n: customers of each pair; tables: their
+    present number; total: tables of its context; k: tables of its word in all contexts. How customers sit at them is
+    summed over, so a draw doesn't depend on the present number but through the others' sums."""
+    out, others = np.ones(len(n), np.int64), (total - tables, k - tables, law.customers - tables)
+    order = np.argsort(n, kind="stable")
+    first = _distinct(n[order])
+    for lo, hi in zip(first, np.append(first[1:], len(n)), strict=True):
+        size = int(n[order[lo]])
+        if size < 2:
+            continue
+        step = max(1, 500_000 // size) if size <= RECURSION else 1
+        for at in (order[i : min(hi, i + step)] for i in range(lo, hi, step)):
+            of = [x[at].astype(float)[:, None] for x in others]
+            if size <= RECURSION:
+                t = np.arange(1, size + 1)
+                out[at] = 1 + _pick(_weights(size, t, *of, law), rng)
+            else:
+                out[at] = _draw_many(size, *(x[0] for x in of), law, rng)
+    return out
+
+
+def _draw_many(n: int, total: np.ndarray, k: np.ndarray, customers: np.ndarray, law: Law, rng: np.random.Generator) -> int:
+    """A draw for a pair of many customers: the range that holds the weight is found on ever finer grids, then drawn from
+    on a grid of 256 cells at most."""
+    weigh = lambda t: _weights(n, t, total, k, customers, law)
+    low, high = 1, n
+    while high - low > 128:
+        t = np.unique(np.concatenate([np.geomspace(low, high, 24), np.linspace(low, high, 24)]).astype(np.int64))
+        w = weigh(t)
+        likely = np.flatnonzero(w > w.max() - 40)
+        new = int(t[max(0, likely[0] - 1)]), int(t[min(len(t) - 1, likely[-1] + 1)])
+        if new[1] - new[0] > (high - low) * 0.7:
+            break
+        low, high = new
+    edges = np.unique(np.linspace(low, high + 1, min(256, high - low + 1) + 1).astype(np.int64))
+    middle = (edges[:-1] + edges[1:] - 1) // 2
+    at = int(_pick((weigh(middle) + np.log(np.diff(edges)))[None, :], rng)[0])
+    return int(rng.integers(edges[at], edges[at + 1]))
+
+
+def ways(n: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """For each discount the sum over pairs of seatings()."""
+    pairs, times = np.unique(np.stack([n, tables]), axis=1, return_counts=True)
+    small = pairs[0] <= RECURSION
+    out = np.zeros(len(DISCOUNTS))
+    for i, d in enumerate(DISCOUNTS):
+        if small.any():
+            out[i] = _recursion(float(d), RECURSION)[pairs[0, small], pairs[1, small]] @ times[small]
+    for m, t, count in zip(*pairs[:, ~small], times[~small], strict=True):
+        out += count * np.array([seatings(int(m), np.array([t]), d)[0] for d in DISCOUNTS])
+    return out
+
+
+SEATS = "at long, u binary, w binary, n binary, tables binary, kept binary, fits array<double>"
 _SEATS = [c.split()[0] for c in SEATS.split(", ")]
 
 
-def _seats(at: int, u, w, n, tables, sizes, kept) -> pa.Table:
+def _seats(at: int, u, w, n, tables, kept) -> pa.Table:
     """A bucket's pairs in order of their contexts; kept: numbers of tables, state by state."""
-    row = [at, pack(u, rising=True), pack(w), pack(n), pack(tables), pack(sizes), pack(kept), rising(sizes, DISCOUNTS)]
-    types = [pa.int64(), *[pa.binary()] * 6, pa.list_(pa.float64())]
+    row = [at, pack(u, rising=True), pack(w), pack(n), pack(tables), pack(kept), ways(n, tables)]
+    types = [pa.int64(), *[pa.binary()] * 5, pa.list_(pa.float64())]
     return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], _SEATS)
 
 
@@ -388,7 +468,7 @@ def _first_seats(told: pa.Table) -> pa.Table:
     u, w, n = (np.concatenate([unpack(r[c], rising=c == "a") for r in rows]) for c in "abc")
     order = np.lexsort((w, u))
     n = n[order].view(np.int64)
-    return _seats(rows[0]["at"], u[order], w[order], n, np.ones(len(n), np.int64), n, np.zeros(0, np.int64))
+    return _seats(rows[0]["at"], u[order], w[order], n, np.ones(len(n), np.int64), np.zeros(0, np.int64))
 
 
 def _tell(buckets: int, states: int):
@@ -439,11 +519,11 @@ def _sweep(law: Law, keep: bool, seed: int):
     def run(seats: pa.Table, answers: pa.Table) -> pa.Table:
         row = seats.to_pylist()[0]
         u, w = unpack(row["u"], rising=True), unpack(row["w"])
-        n, tables, sizes, kept = (counts(row[c])[0] for c in ("n", "tables", "sizes", "kept"))
+        n, tables, kept = (counts(row[c])[0] for c in ("n", "tables", "kept"))
         found = np.concatenate([counts(r["a"], 2) for r in _received(answers)], axis=1)
         key = np.unique(np.concatenate([u, w]))
-        sizes, tables = reseat(n, sizes, tables, found[0, np.searchsorted(key, u)], found[1, np.searchsorted(key, w)], law, np.random.default_rng([seed, row["at"]]))
-        return _seats(row["at"], u, w, n, tables, sizes, np.concatenate([kept, tables]) if keep else kept)
+        tables = reseat(n, tables, found[0, np.searchsorted(key, u)], found[1, np.searchsorted(key, w)], law, np.random.default_rng([seed, row["at"]]))
+        return _seats(row["at"], u, w, n, tables, np.concatenate([kept, tables]) if keep else kept)
 
     return run
 

@@ -439,35 +439,55 @@ def test_language_model_learns_word_pairs(spark):
     assert known[True] == pytest.approx(10 ** (-(one.score + two.score) / (one.n_tokens + two.n_tokens)))
 
 
-@pytest.mark.parametrize(("n", "others", "words", "law"), [(2, 3, 1, pitman_yor.Law(0.5, 2.0, 0.3, 1.0, 9, 4)), (7, 4, 2, pitman_yor.Law(0.7, 5.0, 0.5, 10.0, 12, 5)), (40, 1, 3, pitman_yor.Law(0.3, 8.0, 0.6, 3.0, 20, 6))])
-def test_reseating_reaches_the_exact_posterior(n, others, words, law):
+def stirling(top, d):
+    """log of generalised Stirling numbers by their recursion, [n, t]."""
+    out = np.full((top + 1, top + 1), -np.inf)
+    out[1, 1] = 0
+    for n in range(1, top):
+        t = np.arange(1, n + 2)
+        with np.errstate(divide="ignore"):
+            out[n + 1, 1 : n + 2] = np.logaddexp(out[n, : n + 1], np.log(np.maximum(n - d * t, 0)) + out[n, 1 : n + 2])
+    return out
+
+
+@pytest.mark.parametrize(("n", "others", "words", "law"), [(2, 3, 1, pitman_yor.Law(0.5, 2.0, 0.3, 1.0, 9, 4)), (7, 4, 2, pitman_yor.Law(0.7, 5.0, 0.5, 10.0, 12, 5)), (40, 1, 3, pitman_yor.Law(0.3, 8.0, 0.6, 3.0, 20, 6)), (900, 2000, 500, pitman_yor.Law(0.6, 10.0, 0.5, 10.0, 90_000, 9000)), (900, 50, 400, pitman_yor.Law(0.9, 100.0, 0.5, 10.0, 900, 90))])
+def test_reseating_is_the_exact_posterior(n, others, words, law):
     """Tables of one pair of n customers, of whose context others tables and of whose word so many tables stand elsewhere:
-    the chain's law against generalised Stirling numbers."""
-    m, rng = 6000, np.random.default_rng(2)
-    sizes, tables = np.full(m, n), np.ones(m, np.int64)
-    for _ in range(25 if n < 10 else 100):
-        # each row is a world of its own: the parent has as many more customers as the pair has tables
-        moved = []
-        for t in np.unique(tables):
-            at = np.flatnonzero(tables == t)
-            starts = np.cumsum(tables) - tables
-            part = np.concatenate([sizes[a : a + t] for a in starts[at]])
-            now = pitman_yor.Law(law.d, law.theta, law.d0, law.theta0, law.customers + int(t), law.words)
-            moved.append(pitman_yor.reseat(np.full(len(at), n), part, np.full(len(at), t), np.full(len(at), others + t), np.full(len(at), words + t), now, rng))
-        sizes, tables = (np.concatenate(x) for x in zip(*moved, strict=True))
-        assert sizes.sum() == m * n and (sizes > 0).all() and tables.sum() == len(sizes)
-    stirling = {(1, 1): 1.0}
-    for k in range(2, n + 1):
-        for t in range(1, k + 1):
-            stirling[k, t] = stirling.get((k - 1, t - 1), 0.0) + (k - 1 - law.d * t) * stirling.get((k - 1, t), 0.0)
-    weight = []
-    for t in range(1, n + 1):
-        w = stirling[n, t]
-        for i in range(t):
-            w *= (law.theta + law.d * (others + i)) * (words + i - law.d0) / (law.theta0 + law.customers + i)
-        weight.append(w)
-    want, found = np.array(weight) / sum(weight), np.bincount(tables, minlength=n + 1)[1:] / m
-    assert np.abs(found - want).max() < 0.03
+    one draw's law against generalised Stirling numbers; 900 customers go past the recursion."""
+    m, rng = 20_000 if n < 100 else 1500, np.random.default_rng(2)
+    now = pitman_yor.Law(law.d, law.theta, law.d0, law.theta0, law.customers + 1, law.words)
+    tables = pitman_yor.reseat(np.full(m, n), np.ones(m, np.int64), np.full(m, others + 1), np.full(m, words + 1), now, rng)
+    t = np.arange(1, n + 1)
+    steps = np.log([(law.theta + law.d * (others + i)) * (words + i - law.d0) / (law.theta0 + law.customers + i) for i in range(n)])
+    log = stirling(n, law.d)[n, 1:] + np.cumsum(steps)
+    want = np.exp(log - log.max())
+    want /= want.sum()
+    mean, spread = want @ t, math.sqrt(want @ t**2 - (want @ t) ** 2)
+    assert abs(tables.mean() - mean) < 5 * spread / math.sqrt(m) + 0.01 * mean
+    if n < 100:
+        assert np.abs(np.bincount(tables, minlength=n + 1)[1:] / m - want).max() < 0.02
+    else:
+        assert tables.std() == pytest.approx(spread, rel=0.15)
+
+
+@pytest.mark.parametrize("d", [0.05, 0.3, 0.6, 0.9, 0.95])
+def test_seatings_past_the_recursion(monkeypatch, d):
+    exact = stirling(1200, d)
+    monkeypatch.setattr(pitman_yor, "RECURSION", 1)
+    for n in (300, 1200):
+        t = np.array([1, 2, 3, 7, 20, 60, 150, 290, 299, 300])
+        assert np.abs(pitman_yor.seatings(n, t, d) - exact[n, t]).max() < 0.1
+
+
+def test_a_frequent_pair_is_seated_after_one_sweep():
+    """As many sweeps as the query takes: tables of a pair of any size are where they should be, not short of it."""
+    law = pitman_yor.Law(0.6, 10.0, 0.5, 10.0, 100_000, 20_000)
+    for n in (100, 1000, 10_000, 1_000_000):
+        draws = [int(pitman_yor.reseat(np.array([n]), np.array([1]), np.array([2001]), np.array([501]), law, np.random.default_rng(i))[0]) for i in range(40)]
+        again = [int(pitman_yor.reseat(np.array([n]), np.array([d]), np.array([2000 + d]), np.array([500 + d]), pitman_yor.Law(0.6, 10.0, 0.5, 10.0, 99_999 + d, 20_000), np.random.default_rng(900 + i))[0]) for i, d in enumerate(draws)]
+        assert np.mean(draws) == pytest.approx(np.mean(again), rel=0.2)
+        if n >= 10_000:  # new tables come up by Poisson's law then
+            assert np.mean(draws) == pytest.approx(1 + 1210 * 499.5 / 100_010 / 0.6, rel=0.15)
 
 
 def test_laws_are_drawn_where_they_are_likely():
