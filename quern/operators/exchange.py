@@ -66,24 +66,6 @@ def cache_entries(artifacts: DataFrame, findings: DataFrame) -> DataFrame:
     return artifacts.select("path", T.content_key(F.col("content"), F.col("path")).alias("key")).join(n, F.col("path") == F.col("f_uri"), "left").select("path", "key", F.coalesce("n", F.lit(0)).cast("long").alias("findings"))
 
 
-def verdict_json(verdicts: DataFrame, relevant: DataFrame, key: str = "run_id", most: int = 1000) -> DataFrame:
-    """A verdict a run as JSON: decision, reason, its number of relevant findings, and the first `most` of them (rule_id,
-    level, uri, start_line) in order. The number counts all; a longer list is read from the table of findings."""
-    each = F.struct("ord", "rule_id", "level", "uri", "start_line")
-    first = relevant.withColumn("place", F.row_number().over(_by(key, "ord"))).where(F.col("place") <= most)
-    kept = first.groupBy(key).agg(F.array_sort(F.collect_list(each)).alias("relevant_findings"))
-    n = relevant.groupBy(key).agg(F.count("*").alias("relevant_count"))
-    out = verdicts.join(n, key, "left").join(kept, key, "left")
-    body = F.struct("decision", "reason", F.coalesce("relevant_count", F.lit(0)).alias("relevant_count"), F.coalesce("relevant_findings", F.array().cast("array<struct<ord:bigint,rule_id:string,level:string,uri:string,start_line:int>>")).alias("relevant_findings"))
-    return out.select(key, F.to_json(body).alias("json"))
-
-
-def _by(key: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(order)
-
-
 def markdown(findings: DataFrame, verdicts: DataFrame, key: str = "run_id") -> DataFrame:
     """A run's report in parts, each a row: (key, part, priority, uri, ord, text), in that order. Part 0 is the heading,
     1 a row of the table of severities, 2 a finding, 3 the end. A report of any length is written by sorting the parts."""

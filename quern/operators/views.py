@@ -28,8 +28,15 @@ def analysis_window(findings: DataFrame, around: int = 10) -> DataFrame:
 
 def scores(findings: DataFrame) -> DataFrame:
     """findings with the severity and precision that code scanning sorts by."""
-    severity = F.when(F.col("level") == "error", 8.0).when(F.col("level") == "warning", 5.0).otherwise(2.0)
-    return findings.withColumns({"severity": severity, "precision": F.when(F.col("tier") == "comprehensive", "high").otherwise("medium")})
+    return findings.withColumns({"severity": severity_score(F.col("level")), "precision": precision(F.col("tier"))})
+
+
+def severity_score(level: Column) -> Column:
+    return F.when(level == "error", 8.0).when(level == "warning", 5.0).otherwise(2.0)
+
+
+def precision(tier: Column) -> Column:
+    return F.when(tier == "comprehensive", "high").otherwise("medium")
 
 
 def diagnostics(findings: DataFrame, tool: str = "quern") -> DataFrame:

@@ -177,16 +177,6 @@ def cache_entries(t):
     return X.cache_entries(artifacts(t), R.regex_scan(artifacts(t), R.BUILT_IN))
 
 
-@query(f"""select g.run_id, concat('{{"decision":"', g.decision, '","reason":"', cast(g.n_actionable as varchar), '","relevant_count":', cast(coalesce(r.n, 0) as varchar), ',"relevant_findings":[', coalesce(r.items, ''), ']}}') as json
-from {GATE} g left join (select run_id, count(*) as n, string_agg(item, ',' order by ord) filter (rn <= 3) as items from (select run_id, ord, row_number() over (partition by run_id order by ord) as rn,
-concat('{{"ord":', cast(ord as varchar), ',"rule_id":"', rule_id, '","level":"', level, '"', case when uri is null then '' else concat(',"uri":"', uri, '"') end, ',"start_line":', cast(start_line as varchar), '}}') as item from {{findings}} where level = 'error') group by run_id) r on r.run_id = g.run_id""")
-def verdict_json(t):
-    from ..operators import findings as A
-
-    v = A.gate(_gated(t)).withColumn("reason", F.col("n_actionable").cast("string"))
-    return X.verdict_json(v, t("findings").where("level = 'error'"), most=3)
-
-
 HEAD = "concat('## Analysis Summary', chr(10), chr(10), '**Decision:** ', decision, ' | **Findings:** ', cast(n as varchar), ' | **Files:** ', cast(files as varchar), chr(10), chr(10), '### Findings by Severity', chr(10), '| Severity | Count |', chr(10), '|----------|-------|', chr(10))"
 PRIO = "case level when 'error' then 0 when 'warning' then 1 when 'note' then 2 else 3 end"
 BODY = "concat('<details>', chr(10), '<summary><strong>', level, '</strong> — ', rule_id, ': ', message, case when uri is null then '' else concat(' in <code>', uri, ':', cast(start_line as varchar), '</code>') end, '</summary>', chr(10), chr(10), '**Rule:** ', rule_id, chr(10), case when confidence is null then '' else concat('**Confidence:** ', printf('%.2f', confidence), chr(10)) end, case when uri is null then '' else concat('**File:** `', uri, '` lines ', cast(start_line as varchar), '-', cast(end_line as varchar), chr(10)) end, chr(10), '> ', message, chr(10), chr(10), '</details>', chr(10), chr(10))"
