@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: dict[str, str] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Tables that were written by the functions that are under way and tidy up, the innermost last
+_open: list[list[DataFrame]] = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -39,6 +42,8 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[table] = path
+    if _open:
+        _open[-1].append(table)
     return table
 
 
@@ -48,6 +53,34 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(name: str):
+    """Of a function that returns a DataFrame: its result is written, and the working tables that it wrote go."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(*args, **kwargs) -> DataFrame:
+            _open.append([])
+            try:
+                made = f(*args, **kwargs)
+                tables = _open[-1].copy()
+                path = new_path(made.sparkSession, name)
+                made.write.parquet(path)
+            finally:
+                _open.pop()
+            result = made.sparkSession.read.schema(made.schema).parquet(path)
+            _paths[result] = path
+            if _open:
+                _open[-1].append(result)
+            for table in tables:
+                if table in _paths:
+                    discard(table)
+            return result
+
+        return run
+
+    return wrap
+
+
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered for up to `limit` words."""
 

@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Up to so many rows and bytes of benchmark terms, anchors or phrases are broadcast; beyond it they are joined by a
@@ -50,8 +50,9 @@ def benchmark_windows(benchmark: DataFrame, width: int) -> DataFrame:
 
 def build_index(docs: DataFrame, path: str) -> DataFrame:
     """The whole positional index, written once for any number of benchmarks: (term, doc_id, text_hash, position), in
-    order of terms, so that a reader passes over the files that hold none of its terms."""
-    _tokens(_keyed(docs)).repartitionByRange("term").sortWithinPartitions("term", "doc_id", "position").write.parquet(path)
+    order of terms, so that a reader passes over the files that hold none of its terms. A frequent term's postings are
+    cut by document, so no file or task has all of them."""
+    _tokens(_keyed(docs)).repartitionByRange("term", "doc_id", "position").sortWithinPartitions("term", "doc_id", "position").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -96,6 +97,7 @@ def _close(words: Column, start: Column, length: Column, phrase: Column, slop: i
     return F.size(F.array_intersect(own, around)) >= F.size(own) - F.floor(F.size(own) / 5)
 
 
+@tidy("contamination")
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 4, index: DataFrame | None = None) -> DataFrame:
     """Exact phrase matches of benchmark windows in docs, and how many windows have a near match.
 
@@ -125,6 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop:
     return out.select("doc_id", "text_hash", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
+@tidy("proximity")
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 4, index: DataFrame | None = None) -> DataFrame:
     """Where near matches, as contamination() counts them, are: (doc_id, item_id, window, start), a row each; starts are
     those of the earlier anchor, so an exact match is there too."""
