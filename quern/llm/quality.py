@@ -101,7 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_bytes:
     """Fit on a bounded sample of labelled rows: of each class the per_class smallest hashes of doc_id, texts
     up to class_bytes in all. A text gives its first class_bytes / 32 bytes at most (256 KiB), so that long ones
     can't use up a class: a class of 32 texts or more fits on 32 at least. Half of them, by hash, build the dictionaries; the others calibrate.
-    Labels that are null or not 0 or 1, rows without a doc_id or a text and held-out rows aren't used."""
+    Of rows that repeat a doc_id the text with the smallest hash is taken, so that no document fills the sample. Labels that are
+    null or not 0 or 1, rows without a doc_id or a text and held-out rows aren't used."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "quality", F.xxhash64("doc_id", F.lit(5)).alias("h"))
     ids = None
     for q in (0, 1):
@@ -110,8 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_bytes:
     # 2 * per_class rows at most
     ids = F.broadcast(ids.withColumnRenamed("doc_id", "label_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string").cast("binary"), 1, max(1, class_bytes // 32)).alias("text")).join(ids, F.col("doc_id") == F.col("label_id"))
+    texts = texts.where(F.octet_length("text") > 0).groupBy("quality", "h", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("t"), "text"))["text"].alias("text"))
     run = F.sum(F.octet_length("text")).over(Window.partitionBy("quality").orderBy("h", "doc_id", "text"))
-    rows = texts.where(F.octet_length("text") > 0).withColumn("run", run).where(F.col("run") <= class_bytes).orderBy("h", "doc_id", "text").select("quality", "h", "text").collect()
+    rows = texts.withColumn("run", run).where(F.col("run") <= class_bytes).orderBy("h", "doc_id", "text").select("quality", "h", "text").collect()
     sides: dict[tuple[int, int], list[bytes]] = {(q, s): [] for q in (0, 1) for s in (0, 1)}
     for r in rows:
         sides[r.quality, r.h & 1].append(bytes(r.text))
