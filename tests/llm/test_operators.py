@@ -130,6 +130,16 @@ def test_shards_with_maps_and_one_repeated_id(spark):
     assert Counter(r.text for r in rows) == Counter([f"t{i}" for i in range(300)] + [None] * 3) and all(r.m is None or r.m["a"] == int(r.text[1:]) for r in rows)
 
 
+def test_shards_of_one_repeated_row(spark):
+    """Equal rows are spread over buckets, and shards stay gapless and even."""
+    docs = texts.frame(spark, [(7, "same")] * 600 + [(i, f"t{i}") for i in range(1000, 1100)])
+    made = sharding.external_shuffle(docs, shards=4, bucket_bytes=50).select("*", F.spark_partition_id().alias("task"))
+    rows = made.collect()
+    assert Counter(r.doc_id for r in rows)[7] == 600 and max(Counter(r.task for r in rows if r.doc_id == 7).values()) < 150
+    slots = {s: sorted(r.slot for r in rows if r.shard == s) for s in range(4)}
+    assert all(x == list(range(175)) for x in slots.values())
+
+
 def test_shuffle_is_uniform(spark):
     """Every document is about as likely in every eighth of the order."""
     docs = texts.frame(spark, [(i, "t") for i in range(400)])
