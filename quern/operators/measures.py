@@ -121,20 +121,28 @@ def summarize(runs: DataFrame, key: str, measures: list[str]) -> DataFrame:
     return runs.groupBy(key).agg(F.count("*").alias("runs"), *[f(m).alias(f"{m}_{n}") for m in measures for n, f in (("mean", F.avg), ("std", lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))))])
 
 
-def deltas(summary: DataFrame, key: str, baseline: str, measures: list[str]) -> DataFrame:
-    """Change of each mean against the baseline's row in percent, 0 where that is 0; the baseline itself goes."""
+def deltas(summary: DataFrame, key: str, baseline: str, measures: list[str], absolute: tuple[str, ...] = ("avg_conf",)) -> DataFrame:
+    """Change of each mean against the baseline's row in percent, 0 where that is 0; of the absolute ones the difference itself.
+    The baseline goes."""
     base = summary.where(F.col(key) == baseline).select(*[F.col(f"{m}_mean").alias(f"b_{m}") for m in measures])
-    pct = lambda m: F.when(F.col(f"b_{m}") != 0, (F.col(f"{m}_mean") - F.col(f"b_{m}")) / F.col(f"b_{m}") * 100).otherwise(0.0)
+    pct = lambda m: F.col(f"{m}_mean") - F.col(f"b_{m}") if m in absolute else F.when(F.col(f"b_{m}") != 0, (F.col(f"{m}_mean") - F.col(f"b_{m}")) / F.col(f"b_{m}") * 100).otherwise(0.0)
     # one row at most
-    return summary.where(F.col(key) != baseline).join(F.broadcast(base), F.lit(True)).select(key, *[pct(m).alias(f"{m}_pct") for m in measures])
+    return summary.where(F.col(key) != baseline).join(F.broadcast(base), F.lit(True)).select(key, *[pct(m).alias(f"{m}_diff" if m in absolute else f"{m}_pct") for m in measures])
 
 
 def profiles(feedback: DataFrame) -> DataFrame:
     """Per team and rule: verdict counts, noise rate, mean confidences, and the threshold learnt from them."""
     n = feedback.groupBy("team", "rule_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("useful", "noise", "wrong")], F.avg(F.when(F.col("verdict") == "useful", F.col("confidence"))).alias("useful_conf"), F.avg(F.when(F.col("verdict") == "noise", F.col("confidence"))).alias("noise_conf"))
-    n = n.withColumn("noise_rate", F.col("noise") / F.col("total"))
-    learnt = (F.col("noise_rate") >= 0.7) & (F.coalesce("noise_conf", F.lit(0.0)) > 0)
-    return n.withColumn("suppress_below", F.when(learnt, F.col("noise_conf")).otherwise(0.0))
+    return profile_measures(n)
+
+
+def profile_measures(counts: DataFrame) -> DataFrame:
+    """Counts of profiles with noise_rate, conf_calibration (mean confidence of useful findings less that of noise; 0 where either
+    is 0 or missing) and suppress_below (mean confidence of noise where at least 70 % are noise; else 0)."""
+    rate = safe(F.col("noise"), F.col("total"))
+    useful, noise = (F.coalesce(c, F.lit(0.0)) for c in ("useful_conf", "noise_conf"))
+    n = counts.withColumns({"noise_rate": rate, "conf_calibration": F.when((useful != 0) & (noise != 0), useful - noise).otherwise(0.0)})
+    return n.withColumn("suppress_below", F.when((F.col("noise_rate") >= 0.7) & (noise > 0), noise).otherwise(0.0))
 
 
 def cross_team(profile: DataFrame) -> DataFrame:

@@ -53,12 +53,18 @@ def diff_stats(diffs: DataFrame) -> DataFrame:
 
 def context_budget(files: DataFrame, key: str, order: str, file_bytes: int = 64 << 10, total_bytes: int = 256 << 10) -> DataFrame:
     """Files (content, ...) of a key in order, each counted up to file_bytes, until the first that would bring
-    the sum over total_bytes; that one and all after it stay out."""
+    the sum over total_bytes; that one and all after it stay out. Orders that are equal count together.
+
+    A key's budget ends within its first total_bytes + 1 files that hold anything, so only these are put in order; the rest
+    is compared with where it ends."""
     size = F.least(F.octet_length("content"), F.lit(file_bytes)).cast("long")
-    before = Window.partitionBy(key).orderBy(order)
-    sized = files.withColumn("taken", size).withColumn("total", F.sum("taken").over(before))
+    sized = files.withColumn("taken", size)
+    by = Window.partitionBy("b_key").orderBy("b_order")
+    first = sized.where("taken > 0").select(F.col(key).alias("b_key"), F.col(order).alias("b_order"), "taken").withColumn("place", F.rank().over(by)).where(F.col("place") <= total_bytes + 1)
     # sums only rise, so all that follows the first file over the budget is over it too
-    return sized.where(F.col("total") <= total_bytes).withColumn("cut", F.octet_length("content") > file_bytes)
+    ends = first.withColumn("total", F.sum("taken").over(by)).where(F.col("total") > total_bytes).groupBy("b_key").agg(F.min("b_order").alias("end"))
+    kept = sized.join(ends, F.col(key).eqNullSafe(F.col("b_key")), "left").where(F.col("end").isNull() | (F.col(order) < F.col("end")))
+    return kept.drop("b_key", "end").withColumn("cut", F.octet_length("content") > file_bytes)
 
 
 def cache_lookup(wanted: DataFrame, local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
@@ -101,9 +107,12 @@ def compare(runs: DataFrame, keys: list[str], side: str, current, baseline, meas
     return runs.groupBy(*keys).agg(*[(pick(m, current) - pick(m, baseline)).alias(m) for m in measures])
 
 
-def two_level(runs: DataFrame, condition: str, run: str, measures: list[str]) -> DataFrame:
-    """Sums per condition and run over packages, then mean and sample deviation (0 for one run) over runs."""
-    sums = runs.groupBy(condition, run).agg(*[F.sum(m).alias(m) for m in measures])
+def two_level(runs: DataFrame, condition: str, run: str, measures: list[str], weighted: str | None = None, weight: str = "total") -> DataFrame:
+    """Sums per condition and run over packages, then mean and sample deviation (0 for one run) over runs. The weighted
+    measure is a mean over packages by weight instead of a sum, 0 where the weights are."""
+    mean = [F.coalesce(F.sum(F.col(weighted) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0)), F.lit(0.0)).alias(weighted)] if weighted else []
+    sums = runs.groupBy(condition, run).agg(*[F.sum(m).alias(m) for m in measures], *mean)
+    measures = [*measures, weighted] if weighted else measures
     return sums.groupBy(condition).agg(F.count("*").alias("runs"), *[f for m in measures for f in (F.avg(m).alias(f"{m}_mean"), F.coalesce(F.stddev_samp(m), F.lit(0.0)).alias(f"{m}_std"))])
 
 

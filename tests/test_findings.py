@@ -13,7 +13,7 @@ from quern.operators import exchange as X
 from quern.operators import lifecycle as L
 from quern.operators import reports, syntax
 from quern.operators import selection as S
-from quern.plans import documents, exchange, registry, reporting, structure  # noqa: F401
+from quern.plans import documents, exchange, registry, reporting, service, structure  # noqa: F401
 from quern.sources import loaders, readers
 from quern.streaming import jobs
 
