@@ -344,13 +344,14 @@ def _recursion(d: float, top: int) -> np.ndarray:
     return out
 
 
-def _along_the_cut(n: int, t: np.ndarray, d: float, nodes: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def _along_the_cut(n: int, t: np.ndarray, d: float, nodes: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """The coefficient of x^n in (1 - (1 - x)^d)^t, by an integral along the cut from 1 on, and how much the sum may be off."""
     u = np.linspace(math.log(1e-9 / n), math.log(1e3), nodes)
     y = np.exp(u)
-    e = np.exp(t[:, None] * np.log1p(-(y**d) * np.exp(-1j * math.pi * d)) - (n + 1) * np.log1p(y) + u).imag * ((u[1] - u[0]) / math.pi)
-    # what cancels out, and what lies below the first node
-    return e.sum(axis=1), 1e-12 * np.abs(e).sum(axis=1) + 10 * np.abs(e[:, 0])
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = np.exp(t[:, None] * np.log1p(-(y**d) * np.exp(-1j * math.pi * d)) - (n + 1) * np.log1p(y) + u).imag * ((u[1] - u[0]) / math.pi)
+        # what cancels out, and what lies below the first node
+        return e.sum(axis=1), 1e-9 * np.abs(e).sum(axis=1) + 10 * np.abs(e[:, 0])
 
 
 def _at_the_saddle(n: int, t: np.ndarray, d: float) -> np.ndarray:
@@ -382,12 +383,16 @@ def seatings(n: int, t: np.ndarray, d: float) -> np.ndarray:
 
 
 def _weights(n: int, t: np.ndarray, total: np.ndarray, k: np.ndarray, customers: np.ndarray, law: Law) -> np.ndarray:
-    """log of the probability, but for a constant, of t tables for a pair of n customers, whose context has `total` tables
+    """log of the probability, but for a constant, of t tables (all from 1 to n, if these are few) for a pair of n customers, whose context has `total` tables
     for other words, whose word k in other contexts, and whose parent so many other customers."""
     gain = lambda start, steps: log_gamma(start + steps) - log_gamma(start)
     ratio = law.theta / law.d + total
     # a word without other tables has its first one from the base, which is the same for every t
     first = np.maximum(k, 1) - law.d0
+    if n <= RECURSION:  # all numbers of tables, one step from each to the next
+        i = np.arange(n)
+        steps = (law.theta + law.d * (total + i)) * np.where(k + i > 0, k + i - law.d0, 1.0) / (law.theta0 + customers + i)
+        return seatings(n, t, law.d) + np.cumsum(np.log(steps), axis=1)
     return seatings(n, t, law.d) + t * math.log(law.d) + gain(ratio, t) + log_gamma(k + t - law.d0) - log_gamma(first) - gain(law.theta0 + customers, t)
 
 
@@ -421,18 +426,18 @@ def reseat(n: np.ndarray, tables: np.ndarray, total: np.ndarray, k: np.ndarray,
 
 def _draw_many(n: int, total: np.ndarray, k: np.ndarray, customers: np.ndarray, law: Law, rng: np.random.Generator) -> int:
     """A draw for a pair of many customers: the range that holds the weight is found on ever finer grids, then drawn from
-    on a grid of 256 cells at most."""
+    on a grid of 128 cells at most."""
     weigh = lambda t: _weights(n, t, total, k, customers, law)
     low, high = 1, n
     while high - low > 128:
-        t = np.unique(np.concatenate([np.geomspace(low, high, 24), np.linspace(low, high, 24)]).astype(np.int64))
+        t = np.unique(np.concatenate([np.geomspace(low, high, 16), np.linspace(low, high, 16)]).astype(np.int64))
         w = weigh(t)
         likely = np.flatnonzero(w > w.max() - 40)
         new = int(t[max(0, likely[0] - 1)]), int(t[min(len(t) - 1, likely[-1] + 1)])
         if new[1] - new[0] > (high - low) * 0.7:
             break
         low, high = new
-    edges = np.unique(np.linspace(low, high + 1, min(256, high - low + 1) + 1).astype(np.int64))
+    edges = np.unique(np.linspace(low, high + 1, min(128, high - low + 1) + 1).astype(np.int64))
     middle = (edges[:-1] + edges[1:] - 1) // 2
     at = int(_pick((weigh(middle) + np.log(np.diff(edges)))[None, :], rng)[0])
     return int(rng.integers(edges[at], edges[at + 1]))
@@ -440,14 +445,12 @@ def _draw_many(n: int, total: np.ndarray, k: np.ndarray, customers: np.ndarray,
 
 def ways(n: np.ndarray, tables: np.ndarray) -> np.ndarray:
     """For each discount the sum over pairs of seatings()."""
-    pairs, times = np.unique(np.stack([n, tables]), axis=1, return_counts=True)
-    small = pairs[0] <= RECURSION
-    out = np.zeros(len(DISCOUNTS))
-    for i, d in enumerate(DISCOUNTS):
-        if small.any():
-            out[i] = _recursion(float(d), RECURSION)[pairs[0, small], pairs[1, small]] @ times[small]
-    for m, t, count in zip(*pairs[:, ~small], times[~small], strict=True):
-        out += count * np.array([seatings(int(m), np.array([t]), d)[0] for d in DISCOUNTS])
+    small, width = n <= RECURSION, RECURSION + 1
+    times = np.bincount(n[small] * width + tables[small], minlength=width * width)
+    at = np.flatnonzero(times)
+    out = np.array([_recursion(float(d), RECURSION).ravel()[at] @ times[at] for d in DISCOUNTS])
+    for m, t in zip(n[~small].tolist(), tables[~small].tolist(), strict=True):
+        out += [seatings(m, np.array([t]), d)[0] for d in DISCOUNTS]
     return out
 
 
