@@ -344,23 +344,26 @@ def _recursion(d: float, top: int) -> np.ndarray:
     return out
 
 
-def _along_the_cut(n: int, t: np.ndarray, d: float, nodes: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def _along_the_cut(n: int, t: np.ndarray, d: np.ndarray, nodes: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """The coefficient of x^n in (1 - (1 - x)^d)^t, by an integral along the cut from 1 on, and how much the sum may be off."""
     u = np.linspace(math.log(1e-9 / n), math.log(1e3), nodes)
-    y = np.exp(u)
+    t, d = t[:, None], d[:, None]
+    turn = np.log1p(-np.exp(d * u - 1j * math.pi * d))
     with np.errstate(over="ignore", invalid="ignore"):
-        e = np.exp(t[:, None] * np.log1p(-(y**d) * np.exp(-1j * math.pi * d)) - (n + 1) * np.log1p(y) + u).imag * ((u[1] - u[0]) / math.pi)
-        # what cancels out, and what lies below the first node
-        return e.sum(axis=1), 1e-9 * np.abs(e).sum(axis=1) + 10 * np.abs(e[:, 0])
+        e = np.exp(t * turn - (n + 1) * np.log1p(np.exp(u)) + u) * ((u[1] - u[0]) / math.pi)
+        size = np.abs(e)
+        # what cancels out, what lies below the first node, and all of it where the nodes are too far apart to follow its turns
+        lost = (size[:, 1:] > 1e-8 * size.max(axis=1, keepdims=True)) & (t * np.abs(np.diff(turn.imag, axis=1)) > 1)
+        return e.imag.sum(axis=1), 1e-9 * size.sum(axis=1) + 10 * size[:, 0] + np.where(lost.any(axis=1), np.inf, 0)
 
 
-def _at_the_saddle(n: int, t: np.ndarray, d: float) -> np.ndarray:
+def _at_the_saddle(n: int, t: np.ndarray, d: np.ndarray) -> np.ndarray:
     """The log of the same coefficient by its saddle point, for many tables, where the integral's parts cancel out."""
-    low, high = np.full(t.shape, -300.0), np.zeros(t.shape)
-    for _ in range(70):
+    low, high = (np.log(d) - np.log(n / t)) / (1 - d) - 2, np.zeros(t.shape)
+    for _ in range(42):
         mid = (low + high) / 2
         with np.errstate(divide="ignore"):
-            above = np.log1p(-np.exp(mid)) + math.log(d) + (d - 1) * mid - np.log(-np.expm1(d * mid)) > np.log(n / t)
+            above = np.log1p(-np.exp(mid)) + np.log(d) + (d - 1) * mid - np.log(-np.expm1(d * mid)) > np.log(n / t)
         low, high = np.where(above, mid, low), np.where(above, high, mid)
     z = np.exp(low)
     x, f, f1, f2 = 1 - z, -np.expm1(d * low), d * z ** (d - 1), d * (1 - d) * z ** (d - 2)
@@ -368,18 +371,20 @@ def _at_the_saddle(n: int, t: np.ndarray, d: float) -> np.ndarray:
     return t * np.log(f) - n * np.log1p(-z) - 0.5 * np.log(2 * math.pi * np.maximum(spread, 1e-300))
 
 
-def seatings(n: int, t: np.ndarray, d: float) -> np.ndarray:
-    """log of the weighted number of ways to seat n customers at t tables, as by _recursion(), for any n."""
+def seatings(n: int, t: np.ndarray, d: float | np.ndarray) -> np.ndarray:
+    """log of the weighted number of ways to seat n customers at t tables, as by _recursion(), for any n; above RECURSION each t may
+    have a discount of its own."""
     if n <= RECURSION:
         return _recursion(float(d), RECURSION)[n, t]
     t = np.asarray(t, float)
+    d = np.broadcast_to(d, t.shape)
     found, off = _along_the_cut(n, t, d)
     sure, alone = found > 1e3 * off, t == n
-    log = np.where(alone, n * math.log(d), np.log(np.where(sure, np.maximum(found, 1e-300), 1.0)))
+    log = np.where(alone, n * np.log(d), np.log(np.where(sure, np.maximum(found, 1e-300), 1.0)))
     rest = ~sure & ~alone
     if rest.any():
-        log[rest] = _at_the_saddle(n, t[rest], d)
-    return log + math.lgamma(n + 1) - log_gamma(t + 1) - t * math.log(d)
+        log[rest] = _at_the_saddle(n, t[rest], d[rest])
+    return log + math.lgamma(n + 1) - log_gamma(t + 1) - t * np.log(d)
 
 
 def _weights(n: int, t: np.ndarray, total: np.ndarray, k: np.ndarray, customers: np.ndarray, law: Law) -> np.ndarray:
@@ -450,7 +455,7 @@ def ways(n: np.ndarray, tables: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(times)
     out = np.array([_recursion(float(d), RECURSION).ravel()[at] @ times[at] for d in DISCOUNTS])
     for m, t in zip(n[~small].tolist(), tables[~small].tolist(), strict=True):
-        out += [seatings(m, np.array([t]), d)[0] for d in DISCOUNTS]
+        out += seatings(m, np.full(len(DISCOUNTS), t), DISCOUNTS)
     return out
 
 
