@@ -122,7 +122,9 @@ def last_json_field(text: Column, field: str, default: str = "") -> Column:
     """A string field of a text that is a JSON object or ends with one: of the whole text, else of what begins with the
     last brace from which on the rest is an object that has the field. If words follow, of the last flat object in it; else
     the default."""
-    said = lambda t: F.nullif(F.try_variant_get(F.try_parse_json(t), f"$.{field}", "string"), F.lit(""))
+    # in brackets, as a parser passes over what follows a value
+    whole = lambda t: F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+    said = lambda t: F.when(F.rtrim(t).endswith("}") & F.try_variant_get(whole(t), "$[1]", "variant").isNull(), F.nullif(F.try_variant_get(whole(t), f"$[0].{field}", "string"), F.lit("")))
     parts = F.split(text, r"\{")
     rest = lambda i: F.concat(F.lit("{"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "{"))
     ends = F.when(F.size(parts) > 1, F.aggregate(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), F.lit(None).cast("string"), lambda s, i: F.when(s.isNotNull(), s).otherwise(said(rest(i)))))

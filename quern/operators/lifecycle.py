@@ -25,6 +25,16 @@ def unsuppress(suppressions: DataFrame, removals: DataFrame, first_only: bool =
     return named.join(gone, on, "left_anti").select(*suppressions.columns)
 
 
+def checked_unsuppress(suppressions: DataFrame, removals: DataFrame, first_only: bool = False) -> DataFrame:
+    """unsuppress(), but a removal that matches nothing is an error that names it."""
+    gone = removals.select(F.col("rule_id").alias("g_rule"), _file("file").alias("g_file")).distinct()
+    named = suppressions.select(F.col("rule_id").alias("rule"), _file("file").alias("file"))
+    lost = gone.join(named, (F.col("rule") == F.col("g_rule")) & (F.col("file") == F.col("g_file")), "left_anti").orderBy("g_rule", "g_file").first()
+    if lost:
+        raise ValueError(f"no suppression of rule {lost.g_rule}" + (f" for {lost.g_file}" if lost.g_file else ""))
+    return unsuppress(suppressions, removals, first_only)
+
+
 def retained(events: DataFrame, order: list[str], most: int = 10_000) -> DataFrame:
     """What a log keeps that drops its oldest tenth whenever it holds more than `most` events: the newest ones."""
     n, drop = events.count(), most // 10

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import bursts as B
 from ..operators import measures as M
+from ..operators import nearest as N
+from ..operators import policy as Y
 from ..operators import reports as P
 from ..operators import sliding as S
-from .registry import query, r6
-from .reporting import _packages, PACKAGES
+from .registry import GATE, _gated, query, r6
+from .reporting import PACKAGES, _packages
 
 BURSTS = "(select *, max(case when fresh then ts end) over (order by ts rows unbounded preceding) as burst from (select *, coalesce(ts - lag(ts) over (order by ts) > interval 10 minute, true) as fresh from (select distinct ts from {analysis_events})))"
 
@@ -78,3 +80,35 @@ def condition_confidence(t):
     p = _packages(t).withColumn("conf", (F.substring("package", 2, 9).cast("int") + 1) / 10)
     s = P.two_level(p, "condition", "run", ["total"], weighted="conf")
     return s.select("condition", r6(F.col("conf_mean"), "conf_mean"), r6(F.col("total_mean"), "total_mean"))
+
+
+@query(GATE[1:-1].replace("n_actionable,", "c_open,").replace("as n_rejecting", "as c_blocker").replace("as n_actionable", "as c_open"))
+def policy_gate(t):
+    """The built-in gate, as a policy file says it."""
+    return Y.decide(_gated(t)).select("run_id", "decision", F.col("c_open"), F.col("c_blocker"))
+
+
+POLICY = """
+# by file
+let hard = level = "error" and tier in ("instant", "fast")
+let sure = hard and confidence >= 0.5
+default merge
+reject when sure > 4 and hard > sure
+review when hard > 3 or (hard = 2 and sure = 0)
+"""
+HARD = "level = 'error' and coalesce(tier, '') in ('instant', 'fast')"
+
+
+@query(f"select uri, case when sure > 4 and hard > sure then 'reject' when hard > 3 or hard = 2 and sure = 0 then 'review' else 'merge' end as decision, hard as c_hard, sure as c_sure from (select uri, count(*) filter ({HARD}) as hard, count(*) filter ({HARD} and coalesce(confidence, 0) >= 0.5) as sure from {{findings}} where uri is not null group by uri)")
+def policy_file(t):
+    return Y.decide(t("findings").where("uri is not null"), Y.parse_policy(POLICY), "uri")
+
+
+@query("""with e as (select vec_id, label, [cast(x as double) for x in embedding] as v from {embeddings}),
+s as (select q.vec_id as no, x.vec_id as example_id, list_sum([a[1] * a[2] for a in list_zip(q.v, x.v)]) / sqrt(list_sum([a * a for a in q.v])) / sqrt(list_sum([a * a for a in x.v])) as c from e q join e x on x.label = q.label where q.vec_id % 10 = 1 and x.vec_id % 10 <> 1)
+select no, cast(row_number() over w as integer) as rank, example_id, round(c, 6) as cosine from s window w as (partition by no order by c desc, example_id) qualify row_number() over w <= 3""")
+def nearest_examples(t):
+    """Of each question's group the three nearest examples; every tenth vector is a question, its label the group."""
+    e = t("embeddings").select("vec_id", F.col("label").alias("team"), F.col("embedding").alias("v"))
+    found = N.nearest_examples(e.where("vec_id % 10 = 1").withColumnRenamed("vec_id", "no"), e.where("vec_id % 10 <> 1").withColumnRenamed("vec_id", "id"), "team", 3)
+    return found.select("no", "rank", "example_id", r6(F.col("cosine"), "cosine"))

@@ -73,23 +73,46 @@ def load_suppressions(spark: SparkSession, path: str) -> DataFrame:
 EXPECTED = "case_id string, ord long, rule_id string, level string, lo int, hi int, category string, must_find boolean"
 
 
+def _expectations(batches):
+    """Of (case_id, text) rows the expected findings; the texts are parsed where they are."""
+    import pyarrow as pa
+
+    kinds = {"case_id": pa.string(), "ord": pa.int64(), "rule_id": pa.string(), "level": pa.string(), "lo": pa.int32(), "hi": pa.int32(), "category": pa.string(), "must_find": pa.bool_()}
+    for batch in batches:
+        rows = []
+        for case, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, e in enumerate((_yaml(text) or {}).get("findings") or []):
+                lo, hi = (*(e.get("line_range") or (0, 0)), 0)[:2]
+                rows.append((case, i, e.get("rule_id") or "", e.get("severity") or "", lo, hi, e.get("category") or "", bool(e.get("must_find"))))
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+
 def load_corpus(spark: SparkSession, top: str) -> tuple[DataFrame, DataFrame]:
     """Benchmark cases under top/language/case: (case_id, language, path, content) of the sources, and the expected
-    findings. A case's source is its first file that isn't expected.yaml or metadata.yaml; folders with a dot in
-    front are passed over; a case without a source or expectations is an error."""
-    sources, expected = [], []
-    folders = lambda p: sorted(x for x in Path(p).iterdir() if x.is_dir() and not x.name.startswith("."))
-    for language in folders(top):
-        for case in folders(language):
-            files = sorted(x for x in case.iterdir() if x.is_file() and x.name not in ("expected.yaml", "metadata.yaml"))
-            if not files:
-                raise ValueError(f"no source file found in {case}")
-            name = f"{language.name}/{case.name}"
-            sources.append((name, language.name, str(files[0]), files[0].read_text(encoding="utf-8")))
-            for i, e in enumerate((_yaml((case / "expected.yaml").read_text(encoding="utf-8")) or {}).get("findings") or []):
-                lo, hi = (*(e.get("line_range") or (0, 0)), 0)[:2]
-                expected.append((name, i, e.get("rule_id") or "", e.get("severity") or "", lo, hi, e.get("category") or "", bool(e.get("must_find"))))
-    return spark.createDataFrame(sources, "case_id string, language string, path string, content string"), spark.createDataFrame(expected, EXPECTED)
+    findings. A case's source is its first file by name that isn't expected.yaml or metadata.yaml; folders with a dot in
+    front are passed over; a case without a source or expectations is an error. Files are listed and read side by side; nothing
+    of them comes to the driver but the name of a case that is wrong."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(top)
+    parts = F.split(F.regexp_replace("path", "^file:", ""), "/")
+    at = lambda i: F.element_at(parts, i)
+    depth = F.size(F.split(F.lit(os.path.abspath(top) if "://" not in top else top.rstrip("/")), "/"))
+    inside = (F.size(parts) - depth == 3) | F.lit("://" in top)
+    placed = files.select(F.concat_ws("/", at(-3), at(-2)).alias("case_id"), at(-3).alias("language"), at(-1).alias("name"), F.col("path"), F.col("content")).where(inside & ~at(-3).startswith(".") & ~at(-2).startswith("."))
+    own = placed.where(~F.col("name").isin("expected.yaml", "metadata.yaml"))
+    # names first: only the chosen file's content is read
+    first = own.groupBy(F.col("case_id").alias("first_of")).agg(F.min("name").alias("first"))
+    cases = placed.groupBy("case_id").agg(F.count_if(~F.col("name").isin("expected.yaml", "metadata.yaml")).alias("sources"), F.count_if(F.col("name") == "expected.yaml").alias("wanted"))
+    if os.path.isdir(top):  # folders without any file are in no listing of files
+        seen = lambda p: [x for x in os.scandir(p) if x.is_dir() and not x.name.startswith(".")]
+        folders = spark.createDataFrame([(f"{a.name}/{b.name}",) for a in seen(top) for b in seen(a.path)], "case_id string")
+        cases = folders.join(cases, "case_id", "left").fillna(0, ["sources", "wanted"])
+    wrong = cases.where("sources = 0 or wanted = 0").orderBy("case_id").first()
+    if wrong:
+        raise ValueError(f"no {'source file' if not wrong.sources else 'expected.yaml'} found in {wrong.case_id}")
+    sources = own.join(first, (F.col("case_id") == F.col("first_of")) & (F.col("name") == F.col("first"))).select("case_id", "language", F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("content"))
+    expected = placed.where("name = 'expected.yaml'").select("case_id", F.decode("content", "UTF-8").alias("text")).mapInArrow(_expectations, EXPECTED)
+    return sources, expected
 
 
 LOG = "runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,endLine:int,snippet:struct<text:string>>>>>,properties:struct<confidence:double,tier:string>>>>>"
