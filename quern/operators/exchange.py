@@ -73,7 +73,9 @@ def markdown(findings: DataFrame, verdicts: DataFrame, key: str = "run_id") -> D
     none = [F.lit(0).alias("priority"), F.lit("").alias("uri"), F.lit(0).cast("long").alias("ord")]
     total = F.coalesce("n", F.lit(0)).cast("string")
     head = F.concat(F.lit("## Analysis Summary\n\n**Decision:** "), "decision", F.lit(" | **Findings:** "), total, F.lit(" | **Files:** "), F.coalesce("files", F.lit(0)).cast("string"), F.lit("\n"), F.when(F.col("n").isNull(), "\nNo findings detected.\n").otherwise("\n### Findings by Severity\n| Severity | Count |\n|----------|-------|\n"))
-    heads = verdicts.join(n, key, "left").select(key, F.lit(0).alias("part"), *none, head.alias("text"))
+    # both rows of a run come of one, so that what the verdicts rest on is worked out once
+    both = F.inline(F.array(F.struct(F.lit(0).alias("part"), head.alias("text")), F.struct(F.lit(3).alias("part"), F.lit("---\n").alias("text"))))
+    heads = verdicts.join(n, key, "left").select(key, both).select(key, "part", *none, "text")
     known = findings.where(F.col("level").isin("error", "warning", "note")).groupBy(key, "level").agg(F.count("*").alias("n"))
     rows = known.select(key, F.lit(1).alias("part"), priority(F.col("level")).alias("priority"), none[1], none[2], F.concat(F.lit("| "), "level", F.lit(" | "), F.col("n").cast("string"), F.lit(" |\n")).alias("text"))
     placed, line = F.coalesce("uri", F.lit("")), F.coalesce("start_line", F.lit(0))
@@ -83,8 +85,7 @@ def markdown(findings: DataFrame, verdicts: DataFrame, key: str = "run_id") -> D
     sure = F.when(F.col("confidence").isNotNull(), F.concat(F.lit("**Confidence:** "), F.format_string("%.2f", "confidence"), F.lit("\n"))).otherwise("")
     body = F.concat(F.lit("<details>\n<summary><strong>"), "level", F.lit("</strong> — "), "rule_id", F.lit(": "), T.truncate_bytes(F.col("message"), 80), where, F.lit("</summary>\n\n**Rule:** "), "rule_id", F.lit("\n"), sure, file, F.lit("\n> "), "message", F.lit("\n\n</details>\n\n"))
     items = findings.select(key, F.lit(2).alias("part"), priority(F.col("level")).alias("priority"), placed.alias("uri"), "ord", body.alias("text"))
-    ends = verdicts.select(key, F.lit(3).alias("part"), *none, F.lit("---\n").alias("text"))
-    return heads.unionByName(rows).unionByName(items).unionByName(ends)
+    return heads.unionByName(rows).unionByName(items)
 
 
 def pretty(findings: DataFrame, key: str = "run_id") -> DataFrame:

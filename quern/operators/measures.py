@@ -28,17 +28,16 @@ def percentiles(df: DataFrame, key: str, value: str, ps: dict[str, float]) -> Da
     wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(p).alias("p")) for i, p in enumerate(ps.values())])).alias("x")
     bins = counts.groupBy("key", "bin").agg(F.sum("n").alias("n"))
     whole, so_far = Window.partitionBy("key"), Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.where("bin is not null").select("key", "bin", "n", F.sum("n").over(so_far).alias("top"), F.sum("n").over(whole).alias("total"))
+    ranked = bins.where("bin is not null").select("key", "bin", "n", F.sum("n").over(so_far).alias("top"), F.sum("n").over(whole).alias("total"))
     rank = F.floor((F.col("total") - 1) * F.col("x.p"))
-    picks = bins.select("*", wanted).withColumn("rank", rank).where("rank < top and rank >= top - n").select(F.col("key").alias("p_key"), F.col("bin").alias("p_bin"), "x.no", (F.col("rank") - F.col("top") + F.col("n")).alias("rank"))
+    picks = ranked.select("*", wanted).withColumn("rank", rank).where("rank < top and rank >= top - n").select(F.col("key").alias("p_key"), F.col("bin").alias("p_bin"), "x.no", (F.col("rank") - F.col("top") + F.col("n")).alias("rank"))
     # a key has one row a percentile
     inside = counts.join(picks, F.col("key").eqNullSafe(F.col("p_key")) & (F.col("bin") == F.col("p_bin")))
     upto = Window.partitionBy("key", "no").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     found = inside.withColumn("top", F.sum("n").over(upto)).where("rank < top and rank >= top - n")
-    by_key = found.groupBy("key").agg(*[F.max(F.when(F.col("no") == i, F.col("value"))).alias(c) for i, c in enumerate(ps)]).withColumnRenamed("key", "f_key")
     # keys without any value have a row of nulls
-    keys = counts.select("key").distinct()
-    return keys.join(by_key, F.col("key").eqNullSafe(F.col("f_key")), "left").select(F.col("key").alias(key), *ps)
+    rows = found.select("key", "no", "value").unionByName(bins.select("key").distinct(), allowMissingColumns=True)
+    return rows.groupBy("key").agg(*[F.max(F.when(F.col("no") == i, F.col("value"))).alias(c) for i, c in enumerate(ps)]).withColumnRenamed("key", key)
 
 
 def safe(a: Column, b: Column) -> Column:

@@ -27,10 +27,11 @@ def parts(heads: DataFrame, items: DataFrame, key: str = "run_id") -> DataFrame:
     documents without a head are left out."""
     first = items.groupBy(F.col(key).alias("f_key")).agg(F.min("ord").alias("first"))
     comma = F.when(F.col("ord") == F.col("first"), "").otherwise(",")
-    row = lambda part, c: heads.select(key, F.lit(part).alias("part"), F.lit(0).cast("long").alias("ord"), F.col(c).alias("text"))
+    # both rows of a document come of one, so that what heads rest on is worked out once
+    ends = heads.select(key, F.inline(F.array(F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("ord"), F.col("head").alias("text")), F.struct(F.lit(2).alias("part"), F.lit(0).cast("long").alias("ord"), F.col("tail").alias("text")))))
     body = items.join(first, F.col(key).eqNullSafe(F.col("f_key"))).join(heads.select(F.col(key).alias("h_key")), F.col(key).eqNullSafe(F.col("h_key")), "left_semi")
     body = body.select(key, F.lit(1).alias("part"), F.col("ord").cast("long").alias("ord"), F.concat(comma, "text").alias("text"))
-    return row(0, "head").unionByName(body).unionByName(row(2, "tail"))
+    return ends.unionByName(body)
 
 
 def _given(c: str, columns: list[str], kind: str = "string") -> Column:
