@@ -40,7 +40,11 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     lost executors."""
     path = new_path(df.sparkSession, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def kept(table: DataFrame, path: str) -> DataFrame:
+    """table, known to lie under path, so that discard() and tidy() find its files."""
     _paths[table] = path
     if _open:
         _open[-1].append(table)
@@ -67,10 +71,7 @@ def tidy(name: str):
                 made.write.parquet(path)
             finally:
                 _open.pop()
-            result = made.sparkSession.read.schema(made.schema).parquet(path)
-            _paths[result] = path
-            if _open:
-                _open[-1].append(result)
+            result = kept(made.sparkSession.read.schema(made.schema).parquet(path), path)
             for table in tables:
                 if table in _paths:
                     discard(table)

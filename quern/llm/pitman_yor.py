@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, mix64, new_path, written
+from .common import WordHashes, discard, kept, mix64, new_path, written
 
 BLOCK_TOKENS = 2_000_000
 #: Bytes of text that a bucket of keys stands for
@@ -133,12 +133,12 @@ def _by_key(keys: np.ndarray, *values: np.ndarray):
     return keys[at], [np.add.reduceat(v[order], at) if len(at) else v for v in values]
 
 
-def _bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """df as a table in the shared folder, bucketed by key in as many parts as a shuffle has."""
+def _bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, bucketed by key in as many parts as a shuffle has; and the table's name."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(parts, key).option("path", new_path(spark, name)).saveAsTable(table)
-    return spark.table(table)
+    parts, path = int(spark.conf.get("spark.sql.shuffle.partitions")), new_path(spark, name)
+    df.write.bucketBy(parts, key).option("path", path).saveAsTable(table)
+    return kept(spark.table(table), path), table
 
 
 # blocks
@@ -647,7 +647,7 @@ def language_model(docs: DataFrame, not_learnt: Column | None = None, sweeps: in
     skip = F.lit(False) if not_learnt is None else F.coalesce(not_learnt, F.lit(False))
     plain = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), skip.alias("held_out"))
     buckets = math.ceil((plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BUCKET_BYTES) + 1
-    home = _bucketed(plain.mapInArrow(_home, HOME), "blocks", "at")
+    home, table = _bucketed(plain.mapInArrow(_home, HOME), "blocks", "at")
     counted = home.mapInArrow(_ask(buckets), MESSAGE).groupBy("at").applyInArrow(_count, MESSAGE)
     learnt = written(home.groupBy("at").cogroup(counted.groupBy("at")).applyInArrow(_learn(buckets), MESSAGE), "learnt", "kind")
     kind = lambda k: learnt.where(F.col("kind") == k)
@@ -680,7 +680,11 @@ def language_model(docs: DataFrame, not_learnt: Column | None = None, sweeps: in
     of_pairs = kind(3).select("at", "source", "a").groupBy("at").cogroup(seats.select("at", "u", "w", "kept").groupBy("at")).applyInArrow(_reply_pairs(len(laws)), MESSAGE)
     replies = kind(0).unionByName(of_words).unionByName(of_pairs)
     scored = home.groupBy("at").cogroup(replies.groupBy("at")).applyInArrow(_score(tokens, known_words, laws), SCORED)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    result = written(scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"), "scores")
+    for done in (home, learnt, seats, final):
+        discard(done)
+    docs.sparkSession.sql(f"drop table {table}")
+    return result
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

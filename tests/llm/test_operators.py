@@ -395,6 +395,7 @@ def test_language_model_scores_as_the_seating_says(spark, monkeypatch):
     docs = [*texts.awkward(4), *((500 + i, "the end of the road is near the sea") for i in range(9))]
     tables, laws = {}, []
     real_written, real_score = pitman_yor.written, pitman_yor._score
+    monkeypatch.setattr(pitman_yor, "discard", lambda table: None)  # the seating is looked at below
     monkeypatch.setattr(pitman_yor, "written", lambda df, name, by=None: tables.setdefault(name, []).append(real_written(df, name, by)) or tables[name][-1])
     monkeypatch.setattr(pitman_yor, "_score", lambda *x: laws.append(x[2]) or real_score(*x))
     rows = sorted(pitman_yor.language_model(texts.frame(spark, docs), pitman_yor.held_out(F.col("doc_id"))).collect(), key=lambda r: texts.key((r.doc_id, r.n_tokens)))
@@ -431,6 +432,20 @@ def test_language_model_scores_as_the_seating_says(spark, monkeypatch):
         assert sum(p(key(u), w) for w in {b for _, b in n} | {0}) == pytest.approx(1)
 
 
+def test_working_tables_go(spark):
+    """Nothing but results is left in the shared folder, and no table in the catalog."""
+    import os
+
+    folder = common.work_dir(spark).removeprefix("file://")
+    names = lambda: {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    docs, bench = texts.frame(spark, texts.awkward(2, 10)), spark.createDataFrame([("b", "alpha of de")], "item_id string, text string")
+    for run, left in ((lambda: pitman_yor.language_model(docs), "scores"), (lambda: decontaminate.contamination(docs, bench), "contamination")):
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        run().count()
+        assert names() == {left}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("blocks")]
+
+
 def test_language_model_learns_word_pairs(spark):
     """Words of one frequency: only the preceding word itself tells which follows."""
     rng = random.Random(4)
