@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from ..operators import findings as A
 from ..operators import rules as R
+from ..operators import measures as M
+from ..operators import reports as P
 from ..sources import documents as D
+from ..sources import loaders, readers
+from ..sources.scratch import new_folder
 from .registry import ARTIFACTS, FP, GATE, _gated, _scan_sql, artifacts, query
 
 
@@ -64,3 +68,45 @@ def cache_export(t):
     a = artifacts(t)
     found = R.regex_scan(a, R.BUILT_IN).withColumns({"ord": F.col("rule_ord").cast("long") * 1_000_000_000 + F.col("match_ord"), "end_line": F.col("start_line")})
     return D.cache_documents(a, found)
+
+
+@query(f"select run_id, ord, rule_id, level, message, uri, start_line, end_line, confidence, tier, {FP} as content_fp, substr(sha256(concat_ws('|', rule_id, coalesce(uri, ''), cast(start_line as varchar), message)), 1, 32) as line_fp from {{findings}} where uri is not null")
+def logs_written_and_read(t):
+    """Findings with a place, through the logs of their runs: written in pieces, read by lines."""
+    f = t("findings").where("uri is not null")
+    path = new_folder(f.sparkSession, "logs")
+    D.write_documents(D.run_logs(f, f.select("run_id").distinct(), R.BUILT_IN[:3]), path)
+    return D.read_log_pieces(f.sparkSession, path).select("run_id", "ord", "rule_id", "level", "message", "uri", "start_line", "end_line", "confidence", "tier", "content_fp", "line_fp")
+
+
+@query(f"select run_id, decision, n_actionable from {GATE}")
+def verdicts_written_and_read(t):
+    v = A.gate(_gated(t)).drop("n_rejecting")
+    path = new_folder(v.sparkSession, "verdicts")
+    loaders.write_verdicts(v, path)
+    return loaders.read_verdicts(v.sparkSession, path).select("run_id", "decision", "n_actionable")
+
+
+@query("select run_id, count(*) as total, count(*) filter (level = 'error') as errors from {findings} group by run_id union all select run_id, count(*), count(*) filter (level = 'error') from {findings} group by run_id")
+def metrics_written_and_read(t):
+    """Two appends to a log of metrics, line by line."""
+    m = M.run_measures(t("findings")).select("run_id", "total", "errors")
+    path = new_folder(m.sparkSession, "metrics")
+    loaders.append_run_metrics(m, path)
+    loaders.append_run_metrics(m, path)
+    return loaders.read_run_metrics(m.sparkSession, path, "run_id string, total long, errors long")
+
+
+@query("select ord, rule_id, uri from {findings} where run_id = 'run3'")
+def stored_baseline(t):
+    """A baseline by the id of a stored run."""
+    f = t("findings")
+    path = new_folder(f.sparkSession, "store")
+    readers.write_run(f, path)
+    return loaders.read_baseline(f.sparkSession, "run3", path).select("ord", "rule_id", "uri")
+
+
+@query("select variant, 0 as place, printf('  %-22s %8.1f ±%-5.1f', 'Findings', avg(total), coalesce(stddev_samp(total), 0)) as text from {runs} group by variant union all select variant, 1, printf('  %-22s %8.1f ±%-5.1f', 'Errors', avg(errors), coalesce(stddev_samp(errors), 0)) from {runs} group by variant")
+def summary_lines(t):
+    """A summary's lines of text."""
+    return P.summary_text(M.summarize(t("runs"), "variant", ["total", "errors"]), "variant", {"Findings": "total", "Errors": "errors"})

@@ -62,9 +62,9 @@ def service_report(t):
     return S.report(*S.service_stats(_events(t), 5 * 1440)).where("place in (1, 3, 7, 10, 21)")
 
 
-@query("select team, rule_id, round(case when coalesce(u, 0) <> 0 and coalesce(n, 0) <> 0 then u - n else 0 end, 6) as conf_calibration from (select team, rule_id, avg(confidence) filter (verdict = 'useful') as u, avg(confidence) filter (verdict = 'noise') as n from {feedback} group by all)")
+@query("select team, rule_id, round(case when coalesce(u, 0) <> 0 and coalesce(n, 0) <> 0 then u - n else 0 end, 6) + 0.0 as conf_calibration from (select team, rule_id, avg(confidence) filter (verdict = 'useful') as u, avg(confidence) filter (verdict = 'noise') as n from {feedback} group by all)")
 def conf_calibration(t):
-    return M.profiles(t("feedback")).select("team", "rule_id", r6(F.col("conf_calibration"), "conf_calibration"))
+    return M.profiles(t("feedback")).select("team", "rule_id", (F.round("conf_calibration", 6) + F.lit(0.0)).alias("conf_calibration"))
 
 
 @query("with s as (select variant, avg(total) as t, avg(cost) as c from {runs} group by variant), b as (select * from s where variant = '1-URGENT') select s.variant, round((s.t - b.t) / b.t * 100, 6) as total_pct, round(s.c - b.c, 4) as cost_diff from s, b where s.variant <> '1-URGENT'")
