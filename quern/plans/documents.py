@@ -12,7 +12,7 @@ from ..operators import measures as M
 from ..operators import reports as P
 from ..sources import documents as D
 from ..sources import loaders, readers
-from ..sources.scratch import new_folder
+from ..sources.scratch import new_folder, working_table
 from .registry import ARTIFACTS, FP, GATE, _gated, _scan_sql, artifacts, query
 
 
@@ -74,8 +74,10 @@ def cache_export(t):
 def logs_written_and_read(t):
     """Findings with a place, through the logs of their runs: written in pieces, read by lines."""
     f = t("findings").where("uri is not null")
+    f = f.select("run_id", "ord", *[c for c in D.FIELDS if c in f.columns])
     path = new_folder(f.sparkSession, "logs")
-    D.write_documents(D.run_logs(f, f.select("run_id").distinct(), R.BUILT_IN[:3]), path)
+    with working_table(f, "findings") as stored:
+        D.write_logs(stored, stored.select("run_id").distinct(), R.BUILT_IN[:3], path, compression="gzip")
     return D.read_log_pieces(f.sparkSession, path).select("run_id", "ord", "rule_id", "level", "message", "uri", "start_line", "end_line", "confidence", "tier", "content_fp", "line_fp")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -21,3 +23,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{(shared or _own(spark.sparkContext.applicationId)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def working_table(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """df written to a new folder and read from there; the folder goes at the end."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
