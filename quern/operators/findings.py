@@ -143,9 +143,9 @@ def enclosing(findings: DataFrame, functions: DataFrame, width: int = 64, key: s
     f = f.groupBy(*run("f_run", "f_run"), "f_uri", "f_start", "f_end").agg(F.min("b").alias("b"))
     f = f.select(*run("f_run", "f_run"), "f_uri", "b", F.inline(_blocks(F.col("f_start"), F.col("f_end"), width)))
     f = f.groupBy(*run("f_run", "f_run"), "f_uri", "level", "block").agg(F.min("b").alias("b"))
-    lines = findings.where("uri is not null and start_line is not null").select(*run("l_run"), F.col("uri").alias("l_uri"), F.col("start_line").cast("long").alias("line")).distinct()
-    levels = F.inline(F.array(*[F.struct(F.lit(k).alias("l_level"), F.floor(F.col("line") / width**k).alias("l_block")) for k in range(LEVELS)]))
+    lines = findings.where("uri is not null and start_line is not null").select(*run("l_run"), F.col("uri").alias("l_uri"), F.col("start_line").cast("long").alias("l_line")).distinct()
+    levels = F.inline(F.array(*[F.struct(F.lit(k).alias("l_level"), F.floor(F.col("l_line") / width**k).alias("l_block")) for k in range(LEVELS)]))
     met = [F.col("l_uri") == F.col("f_uri"), F.col("l_level") == F.col("level"), F.col("l_block") == F.col("block"), *same("l_run", "f_run")]
-    best = lines.select("*", levels).join(f, met).groupBy(*run("l_run", "l_run"), "l_uri", "line").agg(F.min("b").alias("b"))
-    out = findings.join(best, [F.col("uri") == F.col("l_uri"), F.col("start_line") == F.col("line"), *same(key, "l_run")], "left")
-    return out.withColumns({"function": F.col("b.name")} | {c: F.col(f"b.{c}") for c in named}).drop("b", "l_run", "l_uri", "line")
+    best = lines.select("*", levels).join(f, met).groupBy(*run("l_run", "l_run"), "l_uri", "l_line").agg(F.min("b").alias("b"))
+    out = findings.join(best, [F.col("uri") == F.col("l_uri"), F.col("start_line") == F.col("l_line"), *same(key, "l_run")], "left")
+    return out.withColumns({"function": F.col("b.name")} | {c: F.col(f"b.{c}") for c in named}).drop("b", "l_run", "l_uri", "l_line")
